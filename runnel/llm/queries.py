@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, fingerprints, sharding
+from . import chat_format, decontamination, fingerprints, language_id, sharding
 from ._shared import table
 
 
@@ -79,5 +79,12 @@ FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
-QUERIES = {"op5_fingerprints": op5_fingerprints, "op6_chat_format": op6_chat_format, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(language_id.fold() != 1))
+    held_out = F.coalesce(language_id.fold() == 1, F.lit(False)).alias("held_out")
+    return language_id.identify(docs.select("doc_id", held_out, "text"), model, keep=["doc_id", "held_out"]).drop("runs")
+
+
+QUERIES = {"op5_fingerprints": op5_fingerprints, "op6_chat_format": op6_chat_format, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination, "op10_language_id": op10_language_id}
 ORACLES = {"op6_chat_format": OP6_SQL, "op9_decontamination": OP9_SQL}
