@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, fingerprints, language_id, sharding
+from . import chat_format, decontamination, fingerprints, language_id, sentencepiece_codec, sharding
 from ._shared import table
 
 
@@ -47,6 +49,16 @@ FROM p GROUP BY conv_id
 """
 
 
+#: A public tokenizer's model file.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL) -> DataFrame:
+    model = Path(model_path).read_bytes()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_codec.encode(docs, model, keep=["doc_id"])
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
@@ -86,5 +98,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", held_out, "text"), model, keep=["doc_id", "held_out"]).drop("runs")
 
 
-QUERIES = {"op5_fingerprints": op5_fingerprints, "op6_chat_format": op6_chat_format, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination, "op10_language_id": op10_language_id}
+QUERIES = {"op5_fingerprints": op5_fingerprints, "op6_chat_format": op6_chat_format, "op7_sentencepiece": op7_sentencepiece, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination, "op10_language_id": op10_language_id}
 ORACLES = {"op6_chat_format": OP6_SQL, "op9_decontamination": OP9_SQL}
