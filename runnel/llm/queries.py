@@ -7,8 +7,60 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, fingerprints, language_id, sentencepiece_codec, sharding
-from ._shared import table
+from . import chat_format, decontamination, fingerprints, language_id, sentencepiece_codec, sharding, token_counts, warc
+from ._shared import fresh_dir, table, written
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads estimates for all documents, revises them to exact counts, adds a second tokenizer, removes toxic documents; sends a batch twice."""
+    docs = table(spark, sf_dir, "documents")
+    exact = [token_counts.count_tokens(F.col("text"), v).alias(v) for v in token_counts.TOKENIZERS]
+    counted = written(docs.select("doc_id", "source", "lang", F.floor(F.coalesce(F.char_length("text"), F.lit(0)) / 4).alias("estimate"), *exact), "token-counts")
+    rollup = token_counts.Rollup(spark, fresh_dir(spark, "token-rollup"))
+
+    def change(df: DataFrame, op: str, version: str, tokens: str, old: str | None = None) -> DataFrame:
+        return df.select("source", "lang", F.lit(op).alias("op"), F.lit(version).alias("tokenizer_version"), F.col(tokens).alias("tokens"), (F.col(old) if old else F.lit(None).cast("long")).alias("old_tokens"))
+
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    gone = counted.join(toxic, "doc_id", "left_semi")
+    revised = change(counted, "revise", "words-1", "words-1", "estimate")
+    rollup.commit("1-load", change(counted, "insert", "words-1", "estimate"))
+    rollup.commit("2-exact", revised)
+    rollup.commit("3-word-punct", change(counted, "insert", "word-punct-1", "word-punct-1"))
+    rollup.commit("2-exact", revised)
+    rollup.commit("4-toxic", change(gone, "delete", "words-1", "words-1").unionByName(change(gone, "delete", "word-punct-1", "word-punct-1")))
+    return rollup.totals()
+
+
+OP2_SQL = r"""
+WITH kept AS (SELECT source, lang, coalesce(text, '') AS text FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL))
+SELECT source, lang, tokenizer_version, count(*) AS docs, sum(n)::BIGINT AS tokens FROM (
+  SELECT source, lang, 'words-1' AS tokenizer_version, len(regexp_extract_all(text, '[^\x09-\x0D\x20]+')) AS n FROM kept
+  UNION ALL
+  SELECT source, lang, 'word-punct-1', len(regexp_extract_all(text, '[0-9A-Za-z\x{80}-\x{10FFFF}]+|[^0-9A-Za-z\x{80}-\x{10FFFF}\x09-\x0D\x20]')) FROM kept)
+GROUP BY ALL
+"""
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = fresh_dir(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), at)
+    return warc.read(spark, at).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+b AS (
+  SELECT *, array_to_string([substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (instr('0123456789abcdef', substr(h, i, 1)) - 1) + 1, 4) FOR i IN range(1, 41)], '') AS bits
+  FROM d
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(bits, i, 1)::INT + 8 * substr(bits, i + 1, 1)::INT + 4 * substr(bits, i + 2, 1)::INT
+    + 2 * substr(bits, i + 3, 1)::INT + substr(bits, i + 4, 1)::INT, 1) FOR i IN range(1, 161, 5)], '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+"""
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,5 +150,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", held_out, "text"), model, keep=["doc_id", "held_out"]).drop("runs")
 
 
-QUERIES = {"op5_fingerprints": op5_fingerprints, "op6_chat_format": op6_chat_format, "op7_sentencepiece": op7_sentencepiece, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination, "op10_language_id": op10_language_id}
-ORACLES = {"op6_chat_format": OP6_SQL, "op9_decontamination": OP9_SQL}
+QUERIES = {"op2_token_counts": op2_token_counts, "op4_warc": op4_warc, "op5_fingerprints": op5_fingerprints, "op6_chat_format": op6_chat_format, "op7_sentencepiece": op7_sentencepiece, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination, "op10_language_id": op10_language_id}
+ORACLES = {"op2_token_counts": OP2_SQL, "op4_warc": OP4_SQL, "op6_chat_format": OP6_SQL, "op9_decontamination": OP9_SQL}
