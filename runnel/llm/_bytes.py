@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer document forms a block of its own.
 BLOCK = 4 << 20
+#: Documents handled at once.
+ROWS = 4096
 
 U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
@@ -52,7 +54,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK) -
         data, offsets = text_buffer(col)
         n, at = len(col), 0
         while at < n:
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+            to = min(n, at + ROWS, max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1))
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
 

@@ -7,10 +7,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, fingerprints, language_id, sentencepiece_codec, sharding, token_counts, warc
+from . import chat_format, decontamination, fingerprints, language_id, ngram_join, sentencepiece_codec, sharding, token_counts, warc
 from ._shared import fresh_dir, table, written
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), 3, 90)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loads estimates for all documents, revises them to exact counts, adds a second tokenizer, removes toxic documents; sends a batch twice."""
     docs = table(spark, sf_dir, "documents")
@@ -150,5 +154,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", held_out, "text"), model, keep=["doc_id", "held_out"]).drop("runs")
 
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op4_warc": op4_warc, "op5_fingerprints": op5_fingerprints, "op6_chat_format": op6_chat_format, "op7_sentencepiece": op7_sentencepiece, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination, "op10_language_id": op10_language_id}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_token_counts": op2_token_counts, "op4_warc": op4_warc, "op5_fingerprints": op5_fingerprints, "op6_chat_format": op6_chat_format, "op7_sentencepiece": op7_sentencepiece, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination, "op10_language_id": op10_language_id}
 ORACLES = {"op2_token_counts": OP2_SQL, "op4_warc": OP4_SQL, "op6_chat_format": OP6_SQL, "op9_decontamination": OP9_SQL}
