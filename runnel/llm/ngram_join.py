@@ -114,14 +114,12 @@ def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, perce
 
     def run(batches):
         for batch, data, offsets in blocks(batches, "text", 1 << 20):
+            at = 0
             for part, other, other_offsets in blocks([batch], "text_b", 1 << 20):
-                lo = part.offset - batch.offset if part.num_rows != batch.num_rows else 0
-                if part.num_rows == batch.num_rows:
-                    mine, my_offsets = data, offsets
-                else:
-                    mine, my_offsets = data[offsets[lo] : offsets[lo + part.num_rows]], offsets[lo : lo + part.num_rows + 1] - offsets[lo]
-                hit = jaccard_at_least(mine, my_offsets, other, other_offsets, width, percent)
+                to = at + part.num_rows
+                hit = jaccard_at_least(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], other, other_offsets, width, percent)
                 yield part.select(["a", "b"]).filter(pa.array(hit))
+                at = to
 
     return with_both.mapInArrow(run, "a long, b long")
 
