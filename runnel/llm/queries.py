@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, fingerprints, language_id, ngram_join, sentencepiece_codec, sharding, token_counts, warc
+from . import chat_format, decontamination, fingerprints, language_id, ngram_join, sentencepiece_codec, sharding, suffix_dedup, token_counts, warc
 from ._shared import fresh_dir, table, written
 
 
@@ -46,6 +46,10 @@ GROUP BY ALL
 """
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = fresh_dir(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), at)
@@ -154,5 +158,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", held_out, "text"), model, keep=["doc_id", "held_out"]).drop("runs")
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_token_counts": op2_token_counts, "op4_warc": op4_warc, "op5_fingerprints": op5_fingerprints, "op6_chat_format": op6_chat_format, "op7_sentencepiece": op7_sentencepiece, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination, "op10_language_id": op10_language_id}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_token_counts": op2_token_counts, "op3_suffix_dedup": op3_suffix_dedup, "op4_warc": op4_warc, "op5_fingerprints": op5_fingerprints, "op6_chat_format": op6_chat_format, "op7_sentencepiece": op7_sentencepiece, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination, "op10_language_id": op10_language_id}
 ORACLES = {"op2_token_counts": OP2_SQL, "op4_warc": OP4_SQL, "op6_chat_format": OP6_SQL, "op9_decontamination": OP9_SQL}
