@@ -49,8 +49,11 @@ def _bits(ids: np.ndarray, bits: int) -> np.ndarray:
     return ((h[None, :] + np.arange(PROBES, dtype=np.uint64)[:, None] * step) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def only_members(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """Rows of df that may have an id of `ids` (one long column): a Bloom filter of bounded size, to be followed by a join. Drops no member."""
+def members_apart(df: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """df in two parts: rows that may have an id of `ids` (one long column), and rows that surely have not.
+
+    A Bloom filter of bounded size decides, so that only the first part has to be shuffled for an exact join. No member is in the second.
+    """
     n = ids.count()
     bits = max(16, min(FILTER_BITS, int(16 * max(1, n)).bit_length()))
 
@@ -62,13 +65,21 @@ def only_members(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(table)
     at = df.columns.index(id_col)
 
-    def run(batches):
-        table = shared.value
-        for batch in batches:
-            col = batch.column(at)
-            probe = _bits(col.fill_null(0).to_numpy(zero_copy_only=False), bits)
-            hit = (((table[probe >> 5] >> (probe & 31)) & 1) == 1).all(0) & col.is_valid().to_numpy(zero_copy_only=False)
-            if hit.any():
-                yield batch.filter(pa.array(hit))
+    def part(wanted: bool):
+        def run(batches):
+            table = shared.value
+            for batch in batches:
+                col = batch.column(at)
+                probe = _bits(col.fill_null(0).to_numpy(zero_copy_only=False), bits)
+                hit = (((table[probe >> 5] >> (probe & 31)) & 1) == 1).all(0) & col.is_valid().to_numpy(zero_copy_only=False)
+                if (hit == wanted).any():
+                    yield batch.filter(pa.array(hit == wanted))
+
+        return df.mapInArrow(run, df.schema)
 
-    return df.mapInArrow(run, df.schema)
+    return part(True), part(False)
+
+
+def only_members(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The first part of members_apart()."""
+    return members_apart(df, id_col, ids)[0]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ._bytes import BYTE_HASH, LOWER, Prefix, blocks, byte_class, mix, shingles, words
 from ._graph import components
 from ._shared import written
-from ._sketches import combined, only_members
+from ._sketches import combined, members_apart, only_members
 
 IN_WORD = ~byte_class((0x20, 0x20), (0x09, 0x0D))
 HASH = BYTE_HASH[LOWER]
@@ -181,7 +181,12 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
 
 
 def first_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those whose class has a document with a smaller doc_id; columns stay as they are. Of rows that repeat an id one stays."""
-    classes = ngram_join(docs, width, percent)
-    kept = classes.where("doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """docs without those whose class has a document with a smaller doc_id; columns stay as they are. Of rows that repeat an id one stays.
+
+    Only rows that may have to go are shuffled.
+    """
+    classes = written(ngram_join(docs, width, percent), "classes")
+    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    twice = classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    maybe, stays = members_apart(docs, "doc_id", gone.unionByName(twice))
+    return stays.unionByName(maybe.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns))

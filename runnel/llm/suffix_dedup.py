@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ._bytes import BYTE_HASH, Prefix, U, blocks, mix, text_buffer
 from ._shared import partitions, written
-from ._sketches import only_members
+from ._sketches import members_apart, only_members
 
 LENGTH = 50
 K = 16
@@ -437,4 +437,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     cols[k] = pa.array(n, batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.join(spans, docs[id_col] == spans["__id"], "left").drop("__id").select(*names, "spans").mapInArrow(run, schema)
+    maybe, stays = members_apart(docs, id_col, spans.select("__id"))
+    return stays.unionByName(maybe.join(spans, maybe[id_col] == spans["__id"], "left").select(*names, "spans").mapInArrow(run, schema))
