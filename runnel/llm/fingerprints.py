@@ -59,7 +59,8 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str, width: int = WIDTH)
 def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard likeness of two fingerprints, 0 to 1, corrected for low bits that agree by chance."""
     chance = 1.0 / 256
-    match = F.aggregate(F.sequence(F.lit(0), F.lit(BINS - 1)), F.lit(0), lambda acc, i: acc + F.when(F.substring(a, 2 * i + 1, 2) == F.substring(b, 2 * i + 1, 2), 1).otherwise(0))
+    digits = lambda x: F.split(x, r"(?<=\G..)")
+    match = F.size(F.filter(F.zip_with(digits(a), digits(b), lambda x, y: (x == y) & (x != "")), lambda same: same))
     share = match / F.lit(float(BINS))
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), (share - chance) / (1 - chance)))
 
