@@ -88,9 +88,20 @@ class Statistics:
             "skewness": F.coalesce(over(F.skewness(v)), nan), "kurtosis": F.coalesce(over(F.kurtosis(v)), nan), "min": over(F.min(value)), "max": over(F.max(value)),
         }
 
-    def running_statistics(self, value: str):
-        """count, average, sample variance and deviation, population skewness and excess kurtosis, min, max; NaN where undefined."""
-        return self.like(self.df.withColumns(self._moments(value, lambda c: c.over(self.running()))))
+    def running_statistics(self, value: str, digits: int | None = None):
+        """count, average, sample variance and deviation, population skewness and excess kurtosis, min, max; NaN where undefined.
+
+        With digits, values of so many decimal places: average, variance and deviation then come from exact sums.
+        """
+        over = lambda c: c.over(self.running())
+        cols = self._moments(value, over)
+        if digits is not None:
+            unit = (exact(F.col(value), digits) * 10**digits).cast("decimal(18,0)")
+            n, s1, s2 = over(F.count(value)), over(F.sum(unit)), over(F.sum((unit * unit).cast("decimal(30,0)")))
+            spread = (n * s2 - s1 * s1).cast("double") / (n * (n - 1)).cast("double") / float(100**digits)
+            cols |= {"average": s1.cast("double") / n / float(10**digits), "variance": F.when(n > 1, spread).otherwise(float("nan"))}
+            cols["stddev"] = F.sqrt(cols["variance"])
+        return self.like(self.df.withColumns(cols))
 
     def statistics(self, value: str) -> DataFrame:
         cols = [c.alias(n) for n, c in self._moments(value).items()]

@@ -348,11 +348,12 @@ def running_top3(spark, sf_dir):
 
 
 @query(f"""
-SELECT user_id, event_id, count(value) OVER w AS count, round(coalesce(var_samp(value) OVER w, 'nan'::DOUBLE), 7) AS variance, round(coalesce(stddev_samp(value) OVER w, 'nan'::DOUBLE), 7) AS stddev,
-  min(value) OVER w AS min, max(value) OVER w AS max FROM events WINDOW w AS {RUN}""")
+WITH c AS (SELECT *, (value::DECIMAL(18,2) * 100)::BIGINT AS u FROM events),
+s AS (SELECT user_id, event_id, count(value) OVER w AS n, (sum(u) OVER w)::BIGINT AS s1, (sum(u * u) OVER w)::BIGINT AS s2, min(value) OVER w AS min, max(value) OVER w AS max FROM c WINDOW w AS {RUN})
+SELECT user_id, event_id, n AS count, s1::DOUBLE / n / 100.0::DOUBLE AS average, CASE WHEN n > 1 THEN (n * s2 - s1 * s1)::DOUBLE / (n * (n - 1))::DOUBLE / 10000.0::DOUBLE ELSE 'nan'::DOUBLE END AS variance,
+  CASE WHEN n > 1 THEN sqrt((n * s2 - s1 * s1)::DOUBLE / (n * (n - 1))::DOUBLE / 10000.0::DOUBLE) ELSE 'nan'::DOUBLE END AS stddev, min, max FROM s""")
 def running_statistics(spark, sf_dir):
-    out = _events(spark, sf_dir).running_statistics("value").df
-    return out.select("user_id", "event_id", "count", F.round("variance", 7).alias("variance"), F.round("stddev", 7).alias("stddev"), "min", "max")
+    return _events(spark, sf_dir).running_statistics("value", digits=2).df.select("user_id", "event_id", "count", "average", "variance", "stddev", "min", "max")
 
 
 @query("""
