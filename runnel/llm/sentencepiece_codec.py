@@ -16,6 +16,7 @@ space (U+2581), which comes back as a space, as in the public library.
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import lru_cache
 
 import ahocorasick
@@ -87,8 +88,11 @@ class Codec:
         for p, i in self.ids.items():
             self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
-        self._apart: dict[tuple[int, int], bool] = {}
-        self._halves: dict[int, list[tuple[int, int]]] = {}
+        self._apart: dict[int, bool] = {}
+        self._alone: dict[int, bool] = {}
+        self.letters = frozenset(p for p in self.ids if len(p) == 1)
+        # no piece spans a space or, mostly, a line end: what stands between is a word
+        self.split = re.compile(" *[^ \n]+|\n| +" if self.by_word and not any("\n" in p for p in self.ids) else " *[^ ]+| +" if self.by_word else "(?s).+")
         low = min(self.scores, default=0.0)
         self.unknown_score = low - 10.0
 
@@ -109,19 +113,53 @@ class Codec:
         return parts
 
     def _keeps_apart(self, a: int, b: int) -> bool:
-        if (a, b) not in self._apart:
+        """Whether merging leaves the two pieces as they are, side by side."""
+        pair = a * len(self.pieces) + b
+        if pair not in self._apart:
             x, y = self.pieces[a], self.pieces[b]
-            self._apart[a, b] = self._merged(x + y) == [x, y]
-        return self._apart[a, b]
+            self._apart[pair] = self._merged(x + y) == [x, y]
+        return self._apart[pair]
 
     def _whole(self, a: int) -> bool:
         """Whether merging gives this piece from its own characters."""
-        if (a, -1) not in self._apart:
-            self._apart[a, -1] = len(self._merged(self.pieces[a])) == 1
-        return self._apart[a, -1]
+        if a not in self._alone:
+            self._alone[a] = len(self._merged(self.pieces[a])) == 1
+        return self._alone[a]
+
+    def _merge_word(self, word: str) -> list[int]:
+        """encode_word for a merging model and a word whose characters all are pieces."""
+        n = len(word)
+        ids, sizes = [0] * (n + 1), [0] * (n + 1)
+        apart, alone, many = self._apart, self._alone, len(self.pieces)
+        for end, (i, size) in self.automaton.iter(word):  # at each end the longest piece first
+            end += 1
+            if sizes[end]:
+                continue
+            before = end - size
+            if before:
+                if not sizes[before]:
+                    continue
+                fits = apart.get(ids[before] * many + i)
+                if fits is None:
+                    fits = self._whole(i) and self._keeps_apart(ids[before], i)
+                    apart[ids[before] * many + i] = fits
+            else:
+                fits = alone.get(i)
+                if fits is None:
+                    fits = self._whole(i)
+            if fits:
+                ids[end], sizes[end] = i, size
+        out, at = [], n
+        while at:
+            out.append(ids[at])
+            at -= sizes[at]
+        out.reverse()
+        return out
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word, in one pass."""
+        if self.bpe and self.letters.issuperset(word):
+            return self._merge_word(word)
         n = len(word)
         ends: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
         for last, (i, size) in self.automaton.iter(word):
@@ -162,29 +200,17 @@ class Codec:
         return ids
 
     def words(self, text: str) -> list[str]:
-        """Normalised words; their concatenation is the text with meta spaces."""
-        text = text.replace(SPACE, " ")  # the meta space stands for a space in texts, too
+        """Words with the spaces before them; they make up the normalised text."""
+        if SPACE in text:
+            text = text.replace(SPACE, " ")  # the meta space stands for a space in texts, too
         if self.squeeze:
             text = " ".join(x for x in text.split(" ") if x)
         if not text:
             return []
-        if self.dummy_prefix:
-            text = " " + text
-        if not self.by_word:
-            return [text.replace(" ", SPACE)]
-        parts = text.split(" ")
-        out, spaces = ([parts[0]] if parts[0] else []), 0
-        for p in parts[1:]:
-            spaces += 1
-            if p:
-                out.append(SPACE * spaces + p)
-                spaces = 0
-        if spaces:
-            out.append(SPACE * spaces)
-        return out
+        return self.split.findall(" " + text if self.dummy_prefix else text)
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for w in self.words(text or "") for i in self.encode_word(w)]
+        return [i for w in self.words(text or "") for i in self.encode_word(w.replace(" ", SPACE))]
 
     # -- decoding
 
@@ -225,36 +251,46 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", keep: list[str
         codec = _codec(model)
         raw = [codec.raw_piece(i) for i in range(len(codec.pieces))]
         known: dict[str, int] = {}
-        pool = [np.zeros(0, np.int32)]
-        decoded = [b""]
+        decoded: list[bytes] = []
+        flat, bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
             for a in range(0, len(texts), 512):
-                part = texts[a : a + 512]
-                rows, shas, exact = [], [], []
+                part = [t or "" for t in texts[a : a + 512]]
                 if len(known) > REMEMBERED:
-                    known, pool, decoded = {}, pool[:1], decoded[:1]
+                    known, decoded, flat, bounds = {}, [], flat[:0], bounds[:1]
+                rows, fresh = [], []
                 for t in part:
-                    t = t or ""
-                    at = []
-                    for w in codec.words(t):
-                        k = known.get(w)
-                        if k is None:
-                            ids = codec.encode_word(w)
-                            k = known[w] = len(pool)
-                            pool.append(np.array(ids, np.int32))
-                            decoded.append(b"".join([raw[i] for i in ids]))
-                        at.append(k)
+                    ws = codec.words(t)
+                    at = list(map(known.get, ws))
+                    if None in at:
+                        for j, k in enumerate(at):
+                            if k is None:
+                                w = ws[j]
+                                k = known.get(w)
+                                if k is None:
+                                    k = known[w] = len(decoded)
+                                    fresh.append(codec.encode_word(w.replace(" ", SPACE)))
+                                    decoded.append(b"".join([raw[i] for i in fresh[-1]]))
+                                at[j] = k
+                    rows.append(at)
+                flat = np.concatenate([flat, np.array([i for ids in fresh for i in ids], np.int32)])
+                bounds = np.concatenate([bounds, bounds[-1] + np.cumsum(np.array([len(ids) for ids in fresh], np.int64))])
+                shas, exact = [], []
+                for t, at in zip(part, rows, strict=True):
                     back = b"".join([decoded[k] for k in at])
                     if codec.dummy_prefix and back[:1] == b" ":
                         back = back[1:]
-                    rows.append(np.concatenate([pool[k] for k in at]) if at else pool[0])
                     shas.append(hashlib.sha256(back).hexdigest())
                     exact.append(back == t.encode())
-                size = np.array([len(r) for r in rows], np.int64)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.concatenate(rows) if rows else pool[0]))
+                words = np.array([k for at in rows for k in at], np.int64)
+                size = bounds[words + 1] - bounds[words]
+                ends = np.concatenate([[0], np.cumsum(size)])
+                ids = flat[np.arange(ends[-1]) + np.repeat(bounds[words] - ends[:-1], size)]
+                doc_ends = ends[np.concatenate([[0], np.cumsum([len(at) for at in rows])]).astype(np.int64)]
                 cut = batch.slice(a, len(part))
-                yield pa.RecordBatch.from_arrays([*[cut.column(i) for i in range(len(keep))], ids, pa.array(size), pa.array(shas), pa.array(exact)], names=[*keep, "ids", "n_ids", "decoded_sha256", "exact"])
+                lists = pa.ListArray.from_arrays(pa.array(doc_ends.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*[cut.column(i) for i in range(len(keep))], lists, pa.array(np.diff(doc_ends)), pa.array(shas), pa.array(exact)], names=[*keep, "ids", "n_ids", "decoded_sha256", "exact"])
 
     return df.mapInArrow(run, schema)
 
