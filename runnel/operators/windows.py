@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def listed(value: Column, order: list[str]) -> Column:
@@ -90,7 +91,7 @@ class Windows:
                 yield f.assign(**{name: ids})
 
         dealt = self.df.repartition(*[F.col(k) for k in by]) if by else self.df.coalesce(1)
-        schema = self.df.schema.add(name, "long")
+        schema = StructType([*self.df.schema.fields, StructField(name, LongType())])
         return dealt.sortWithinPartitions(*by, *[F.asc_nulls_first(c) for c in order]).mapInPandas(run, schema)
 
     def keep_last_per(self, every: str) -> DataFrame:
