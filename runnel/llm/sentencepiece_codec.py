@@ -4,8 +4,8 @@ An Aho-Corasick automaton over all pieces drives one pass over a word; at each p
 that end there, and the best score at the position is relaxed through them. With a unigram model this is Viterbi on the
 piece scores. A BPE model's scores are merge priorities, and adding them up gives other pieces than merging does; there
 a position instead keeps the one piece that can stand last: the piece that ends there and that merging leaves apart
-from the last piece before it (neighbours that merging keeps apart two by two are kept apart in a whole sequence). Both give
-what the public library gives. Words (a run of meta spaces and what follows up to the next) are encoded once a batch each,
+from the last piece before it (neighbours that merging keeps apart two by two are kept apart in a whole sequence), which
+gives what the public library gives. Words (a run of meta spaces and what follows up to the next) are encoded once a batch each,
 since no piece spans two words; a model with pieces that do is encoded text by text.
 
 Characters without a piece become byte pieces, or the unknown id if the model has none. Null text is treated as empty, which
@@ -23,7 +23,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 _IDS = ArrayType(IntegerType())
 SPACE = "▁"
@@ -306,5 +306,5 @@ def decode(encoded: DataFrame, model: bytes, ids_col: str = "ids", out: str = "d
             texts = [codec.decode(ids or []) for ids in batch.column(names.index(ids_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, out])
 
-    return df.mapInArrow(run, df.schema.add(out, "string"))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, StringType())]))
 
