@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer document forms a block of its own.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Documents handled at once.
 ROWS = 4096
 

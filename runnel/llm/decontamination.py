@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-Each shard (about four MB of text of one task) becomes a sequence of word symbols: words that no benchmark item has are
+Each shard (about two MB of text of one task) becomes a sequence of word symbols: words that no benchmark item has are
 separators, as are document ends. All windows of the items are searched backward at once through wavelet-tree ranks;
 occurrences are located by sampled suffix positions; overlapping removal spans merge. Shards need no shuffle.
 

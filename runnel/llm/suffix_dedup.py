@@ -31,11 +31,11 @@ LENGTH = 50
 K = 16
 SIDE = (LENGTH - K) // 2
 #: Text per range; the number of ranges follows the input.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 SAMPLE_DOCS = 2000
 SAMPLE_KEYS = 16
 #: Suffixes that a task holds before it sends them on.
-FLUSH = 2_000_000
+FLUSH = 500_000
 
 
 def token_hashes(data: np.ndarray) -> np.ndarray:
@@ -147,7 +147,7 @@ def _splitters(docs: DataFrame, ranges: int, count: int) -> np.ndarray:
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("splitters")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
 
     def run(batches):
-        for _, data, offsets in blocks(batches, "text"):
+        for _, data, offsets in blocks(batches, "text", 1 << 20):
             r = Runs(data, offsets)
             if len(r.token):
                 pick = np.unique(np.linspace(0, len(r.token) - 1, SAMPLE_KEYS * (len(offsets) - 1)).astype(np.int64))
@@ -175,6 +175,7 @@ def _suffixes(docs: DataFrame, bounds: np.ndarray) -> DataFrame:
 
     def flush(held):
         token, prints, ids, first, last, at, left, right = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         order = multikey_order(token, prints, ids)
         token, prints, ids, first, last, at, left, right = (x[order] for x in (token, prints, ids, first, last, at, left, right))
         new = _heads(token, prints)
@@ -197,7 +198,7 @@ def _suffixes(docs: DataFrame, bounds: np.ndarray) -> DataFrame:
 
     def run(batches):
         held, n = [], 0
-        for batch, data, offsets in blocks(batches, "text"):
+        for batch, data, offsets in blocks(batches, "text", 1 << 20):
             r = Runs(data, offsets)
             if not len(r.token):
                 continue
@@ -281,11 +282,14 @@ def _opened(docs: DataFrame, asked: DataFrame) -> DataFrame:
             cut = np.asarray(runs.offsets) if len(runs) else np.zeros(1, np.int64)
             flat = runs.values
             keys, start, finish = (np.asarray(flat.field(i)) for i in range(3))
+            body, at = [], int(cut[0])
             for d in range(len(ids)):
-                a, b = int(cut[d]), int(cut[d + 1])
-                o = int(offsets[d])
-                body = [raw[o + s : o + f] for s, f in zip(start[a:b].tolist(), finish[a:b].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(np.full(b - a, ids[d])), pa.array(start[a:b]), pa.array(body, pa.binary())], names=["key", "doc_id", "start", "body"])
+                a, b, o = int(cut[d]), int(cut[d + 1]), int(offsets[d])
+                body += [raw[o + s : o + f] for s, f in zip(start[a:b].tolist(), finish[a:b].tolist(), strict=True)]
+                if len(body) >= 8192 or d + 1 == len(ids):
+                    of = np.repeat(np.array(ids, np.int64), np.diff(cut))[at - int(cut[0]) : b - int(cut[0])] if len(cut) else []
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[at:b]), pa.array(of), pa.array(start[at:b]), pa.array(body, pa.binary())], names=["key", "doc_id", "start", "body"])
+                    body, at = [], b
 
     def strings(rows):
         ids, start, body = (np.concatenate([x[i] for x in rows]) if i < 2 else pa.concat_arrays([x[i] for x in rows]) for i in range(3))
