@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .operators import aggregate, combine, failure, fold, select, stats, transform, windows
 from .ordinal import numbered
+from .policies import Subscription, Uni
 
 
 class Flow(transform.Transforms, select.Selections, windows.Windows, fold.Folds, stats.Statistics, aggregate.Aggregations, combine.Combinations, failure.Failures):
@@ -62,6 +63,19 @@ class Flow(transform.Transforms, select.Selections, windows.Windows, fold.Folds,
     def ungrouped(self) -> Flow:
         return Flow(self.df, [*self.order, *[k for k in self.by if k not in self.order]], (), self.ts)
 
+    # -- terminals
+
+    def subscribe(self, on_item: Callable, on_failure: Callable | None = None, on_completion: Callable | None = None) -> Subscription:
+        """Calls on_item for each row in order, in a thread of its own; the subscription can be cancelled and awaited."""
+        return Subscription(self, on_item, on_failure, on_completion)
+
+    def to_uni(self) -> Uni:
+        """The first row, or None."""
+        return Uni.first_of(self.first(1).df)
+
+    def explain(self, mode: str = "formatted") -> None:
+        self.df.explain(mode)
+
     def __iter__(self) -> Iterable:
         """Blocking pull of rows in order, a partition at a time."""
         return self.df.orderBy(*self.by, *self.asc()).toLocalIterator()

@@ -68,6 +68,21 @@ class Transforms:
         """An opaque Python function over Arrow batches as pandas frames; order columns have to survive."""
         return self.like(self.df.mapInPandas(lambda frames: (fn(f) for f in frames), schema))
 
+    def map_python(self, fn: Callable, name: str, kind: str, *columns: str):
+        """A column from an opaque Python function of pandas series, for what no expression says."""
+        return self.like(self.df.withColumn(name, F.pandas_udf(fn, kind)(*[F.col(c) for c in columns])))
+
+    def log(self, name: str = "log", logger=None):
+        """Logs the row count of the next action under the name; items pass unchanged."""
+        import logging
+        import threading
+
+        seen = Observation(name)
+        out = self.observe(seen, items=F.count(F.lit(1)))
+        say = logger or logging.getLogger("runnel")
+        threading.Thread(target=lambda: say.info("%s: %s", name, seen.get), daemon=True).start()
+        return out
+
     def observe(self, name: str | Observation, **metrics: Column):
         """Side metrics of the next action; items pass unchanged."""
         return self.like(self.df.observe(name, *[c.alias(n) for n, c in metrics.items()]))

@@ -276,6 +276,54 @@ def join_first(unis: Sequence[Uni], with_item: bool = False) -> Uni:
     return Uni(run)
 
 
+class Subscription:
+    """A running pull of a flow's rows."""
+
+    def __init__(self, flow, on_item: Callable, on_failure: Callable | None, on_completion: Callable | None):
+        self.spark, self.group, self.cancelled, self.done = flow.df.sparkSession, uuid.uuid4().hex, False, threading.Event()
+
+        def run():
+            self.spark.sparkContext.setJobGroup(self.group, "subscription", interruptOnCancel=True)
+            try:
+                for row in flow:
+                    if self.cancelled:
+                        return
+                    on_item(row)
+                if on_completion and not self.cancelled:
+                    on_completion()
+            except Exception as e:  # noqa: BLE001
+                if on_failure and not self.cancelled:
+                    on_failure(e)
+            finally:
+                self.done.set()
+
+        InheritableThread(target=run, daemon=True).start()
+
+    def cancel(self) -> None:
+        self.cancelled = True
+        self.spark.sparkContext.cancelJobGroup(self.group)
+
+    def wait(self, seconds: float | None = None) -> bool:
+        return self.done.wait(seconds)
+
+
+def hooked(action: Callable[[], Any], on_start: Callable | None = None, on_termination: Callable[[BaseException | None], None] | None = None, on_cancel: Callable | None = None):
+    """Runs an action between its lifecycle hooks."""
+    if on_start:
+        on_start()
+    try:
+        out = action()
+    except BaseException as e:
+        if on_cancel and ("cancel" in str(e).lower() or isinstance(e, KeyboardInterrupt)):
+            on_cancel()
+        if on_termination:
+            on_termination(e)
+        raise
+    if on_termination:
+        on_termination(None)
+    return out
+
+
 def broadcast_to(df: DataFrame, *consumers: Callable[[DataFrame], Any]) -> list:
     """One upstream run for several consumers: the data is kept while all of them run."""
     kept = df.persist()

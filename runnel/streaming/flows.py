@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 
-def events(spark: SparkSession, folder: str, glob: str, schema, ts: str, late: str = "1 hour", files_per_trigger: int | None = None, paused: bool = False) -> DataFrame:
+def events(spark: SparkSession, folder: str, glob: str, schema, ts: str, late: str = "1 hour", files_per_trigger: int | None = None) -> DataFrame:
     """A stream over Parquet files with a watermark; files_per_trigger bounds what a trigger takes."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if files_per_trigger:
@@ -26,6 +26,36 @@ def ticks(spark: SparkSession, per_second: int = 1) -> DataFrame:
     return spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
 
 
+def hot(df: DataFrame, ts: str, joined: str) -> DataFrame:
+    """What a subscriber gets that joins a running stream: only items from then on."""
+    return df.where(F.col(ts) >= F.lit(joined).cast("timestamp"))
+
+
+def listen(spark: SparkSession, on_start: Callable | None = None, on_progress: Callable | None = None, on_end: Callable | None = None):
+    """Lifecycle hooks of streaming queries; returns the listener, to be removed by spark.streams.removeListener."""
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    class Hooks(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            if on_start:
+                on_start(event)
+
+        def onQueryProgress(self, event):
+            if on_progress:
+                on_progress(event)
+
+        def onQueryIdle(self, event):
+            pass
+
+        def onQueryTerminated(self, event):
+            if on_end:
+                on_end(event)
+
+    hooks = Hooks()
+    spark.streams.addListener(hooks)
+    return hooks
+
+
 def tumbling(df: DataFrame, ts: str, every: str, by: list[str], slide: str | None = None, **aggregates) -> DataFrame:
     """Windows of event time; closed ones are final."""
     w = F.window(ts, every, slide) if slide else F.window(ts, every)

@@ -211,3 +211,21 @@ def test_global_positions_span_ranges(spark):
     f = Flow(spark.createDataFrame(rows, "a long, b long"), ["a", "b"])
     got = {r.b: r.pos for r in f.with_pos().collect()}
     assert got == {b: i + 1 for i, (a, b) in enumerate(sorted(rows))}
+
+
+def test_terminals_and_helpers(spark):
+    from runnel.functions import scalars
+
+    f = ints(spark, [3, 1, 2])
+    seen, ended = [], []
+    assert f.subscribe(lambda r: seen.append(r.item), on_completion=lambda: ended.append(1)).wait(60)
+    assert seen == [3, 1, 2] and ended == [1]
+    failed = []
+    assert create.failure(spark, "boom").subscribe(print, on_failure=lambda e: failed.append("boom" in str(e))).wait(60)
+    assert failed == [True]
+    assert f.to_uni().wait().item == 3 and create.empty(spark).to_uni().wait() is None
+    assert values(f.map_python(lambda s: s * 10, "tens", "int", "item"), "tens") == [30, 10, 20]
+    t = f.df.select("pos", scalars.map_item(scalars.tuple_of(F.col("item"), F.col("pos")), 1, lambda x: x + 1).alias("t"))
+    assert [r.t.item1 for r in t.orderBy("pos").collect()] == [4, 2, 3]
+    with pytest.raises(ValueError):
+        scalars.tuple_of(F.col("item"))
