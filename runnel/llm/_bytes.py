@@ -5,6 +5,7 @@ Nothing here loops over characters or words in Python; a block of documents is o
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -57,6 +58,26 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK) -
             to = min(n, at + ROWS, max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1))
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
+        del batch, col, data
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker lives on through many tasks."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def _libc():
+    try:
+        lib = ctypes.CDLL(None)
+        return lib if hasattr(lib, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+_LIBC = _libc()
 
 
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

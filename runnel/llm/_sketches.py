@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import mix
+from ._bytes import give_back, mix
 
 PIECES = 64
 
@@ -22,20 +22,29 @@ def combined(df: DataFrame, size: int, add: Callable, union: bool = False) -> np
         for batch in batches:
             add(batch, own)
         if own.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES, dtype=np.int32)), pa.array([x.tobytes() for x in np.split(own, PIECES)], pa.binary())], names=["piece", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES, dtype=np.int32)), pa.array([_planes(x) for x in np.split(own, PIECES)], pa.binary())], names=["piece", "body"])
 
     def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
         for batch in batches:
             for body in batch.column(1):
-                x = np.frombuffer(body.as_py(), np.int32)
+                x = _values(body.as_py())
                 out = x.copy() if out is None else np.bitwise_or(out, x, out=out) if union else np.minimum(out.astype(np.int64) + x, (1 << 31) - 1).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["piece", "body"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([_planes(out)], pa.binary())], names=["piece", "body"])
 
     schema = "piece int, body binary"
     found = {r.piece: r.body for r in df.mapInArrow(part, schema).groupBy("piece").applyInArrow(merge, schema).collect()}
     blank = bytes(4 * size // PIECES)
-    return np.concatenate([np.frombuffer(found.get(i, blank), np.int32) for i in range(PIECES)])
+    return np.concatenate([_values(found.get(i, blank)) for i in range(PIECES)])
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers' low bytes first, then the next ones: mostly zeros, which shuffles compress away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _values(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
 
 
 #: Bits of a membership filter at most: 8 MB, whatever the number of ids.
@@ -74,6 +83,8 @@ def members_apart(df: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame
                 hit = (((table[probe >> 5] >> (probe & 31)) & 1) == 1).all(0) & col.is_valid().to_numpy(zero_copy_only=False)
                 if (hit == wanted).any():
                     yield batch.filter(pa.array(hit == wanted))
+                del batch, col
+                give_back()
 
         return df.mapInArrow(run, df.schema)
 

@@ -1,11 +1,14 @@
 """N-gram Jaccard join with a token-group matrix.
 
 Documents become sets of word shingles. Equal sets act as one, their first document. Tokens have a global order, rare ones first
-(by a sketch of fixed size over all shingles, then by hash); two sets that link share a token among the first few of each,
-the prefix. Documents of one prefix token are compared with the first of them, and what links makes groups of similar documents.
-The matrix then has a row for each prefix token and group. Each group stores the union of its members' tokens as bits; for a
-query document the union bounds its overlap with any member from above, and only groups that qualify are opened:
-members that share a prefix token with the query are compared exactly. Pairs inside a group are never listed.
+(by a sketch of fixed size over all shingles, then by hash). The first tokens of a set, a little more than the part in which two
+linked sets may differ, are its prefix; how many prefix tokens two linked sets share at least follows from their sizes. Documents
+that share too few with all others together are settled by this alone.
+
+Of the rest each document is compared with one other, the one closest to common of those it shares most with; what links
+makes groups of similar documents. The token-group matrix then stores each group's union of prefix tokens, a row a token and group. For
+a query document the number of its tokens in a union bounds from above what it shares with any member; only groups that
+qualify are opened: their members that share enough with the query are compared exactly. Pairs inside a group are never listed.
 
 Links: 100 * intersection >= percent * union. Null, empty and word-free texts have empty sets and link with nothing. Repeated
 rows are members of one class. The driver sees only sketches of a fixed size and, per round of the components, a count.
@@ -15,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import BYTE_HASH, LOWER, Prefix, blocks, byte_class, mix, shingles, words
@@ -25,10 +28,10 @@ from ._sketches import combined, members_apart, only_members
 
 IN_WORD = ~byte_class((0x20, 0x20), (0x09, 0x0D))
 HASH = BYTE_HASH[LOWER]
-COUNTER_BITS = 18
+COUNTER_BITS = 20
 LEVEL_BITS = 5
-#: 64-bit words of a set's bitmap.
-LANES = 16
+#: Percent of a set's tokens that its prefix has beyond the part that a linked set may lack.
+MORE = 2
 
 
 def _shingle_hashes(data, offsets, width):
@@ -49,7 +52,7 @@ def _distinct(tokens, bounds):
 
 
 def token_levels(docs: DataFrame, width: int) -> np.ndarray:
-    """How frequent the tokens of each counter are, in powers of two of the median counter; 2^COUNTER_BITS bytes."""
+    """How far the tokens of each counter stand out from chance, in powers of two; 2^COUNTER_BITS bytes."""
 
     def add(batch, own):
         for _, data, offsets in blocks([batch], "text"):
@@ -58,56 +61,56 @@ def token_levels(docs: DataFrame, width: int) -> np.ndarray:
 
     counts = combined(docs.select("text"), 1 << COUNTER_BITS, add)
     middle = max(1.0, float(np.median(counts)))
-    return np.clip(np.log2(np.maximum(counts / middle, 1.0)), 0, (1 << LEVEL_BITS) - 1).astype(np.uint8)
+    return np.clip(np.log2(np.maximum((counts - middle) / np.sqrt(middle), 1.0)), 0, (1 << LEVEL_BITS) - 1).astype(np.uint8)
 
 
 def signatures(docs: DataFrame, width: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """Per document: n (set size), d1 and d2 (digest of the set), prefix tokens, bitmap lanes b0, b1, ..."""
+    """Per document: n (set size), d1 and d2 (digest of the set), prefix tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
-    schema = "doc_id long, n long, d1 long, d2 long, prefix array<long>, " + ", ".join(f"b{i} long" for i in range(LANES))
 
     def run(batches):
         level = shared.value
         for batch, data, offsets in blocks(batches, "text"):
             raw, bounds = _shingle_hashes(data, offsets, width)
             top = level[(raw >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)].astype(np.uint64)
-            tokens, doc, at = _distinct((top << np.uint64(64 - LEVEL_BITS - 1)) | (mix(raw) >> np.uint64(LEVEL_BITS + 1)), bounds)
+            tokens, _, at = _distinct((top << np.uint64(64 - LEVEL_BITS - 1)) | (mix(raw) >> np.uint64(LEVEL_BITS + 1)), bounds)
             n = np.diff(at)
-            count = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
+            count = np.where(n > 0, n - rest_size(n, percent), 0)
             pick = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - at[:-1], count)
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in (mix(tokens), mix(tokens * np.uint64(0xD6E8FEB86659FD93) + np.uint64(7)))]
             d1, d2 = ((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums)
-            bits = np.zeros((len(n), 64 * LANES), bool)
-            bits[doc, (tokens & np.uint64(64 * LANES - 1)).astype(np.int64)] = True
-            lanes = np.packbits(bits, axis=1).view(np.int64)
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(tokens[pick].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(d1), pa.array(d2), prefix, *[pa.array(np.ascontiguousarray(lanes[:, i])) for i in range(LANES)]], names=["doc_id", "n", "d1", "d2", "prefix", *[f"b{i}" for i in range(LANES)]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(d1), pa.array(d2), prefix], names=["doc_id", "n", "d1", "d2", "prefix"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>")
 
 
-def _sizes_fit(a: str, b: str, percent: int):
-    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+def rest_size(n, percent: int):
+    """How many tokens of a set of n are not in its prefix."""
+    return np.maximum(0, (percent * n + 99) // 100 - np.maximum(1, MORE * n // 100))
+
 
+def _rest(n: Column, percent: int) -> Column:
+    return F.greatest(F.lit(0), F.floor((n * percent + 99) / 100) - F.greatest(F.lit(1), F.floor(n * MORE / 100)))
 
-def _missing(a: str, b: str):
-    """How many bits of a's bitmap b's lacks: as many tokens at least that b lacks."""
-    return sum((F.bit_count(F.col(f"{a}{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}{i}")))) for i in range(LANES)), F.lit(0))
 
+def _least_shared(n: Column, m: Column, percent: int) -> Column:
+    """How many prefix tokens linked sets of n and m tokens have in common at least.
 
-def _within(query: str, group: str, n: str, percent: int):
-    return (F.col(n) - _missing(query, group)) * 100 >= F.col(n) * percent
+    They share as many tokens as the threshold asks for. Common tokens that are not in both prefixes all lie in the rest
+    of the set whose prefix ends first.
+    """
+    both = F.floor((percent * (n + m) + 99 + percent) / (100 + percent))
+    return F.greatest(F.lit(1), both - F.greatest(_rest(n, percent), _rest(m, percent)))
 
 
-def _lanes(df: DataFrame, key: str, to: str, lane: str, size: str) -> DataFrame:
-    return df.select(F.col(key).alias(to), F.col("n").alias(size), *[F.col(f"b{i}").alias(f"{lane}{i}") for i in range(LANES)])
+def _sizes_fit(a: str, b: str, percent: int):
+    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
-def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: bitmaps first, then the texts themselves."""
-    likely = pairs.join(_lanes(sets, "doc_id", "b", "y", "nb"), "b").join(_lanes(sets, "doc_id", "a", "x", "na"), "a")
-    likely = likely.where(_sizes_fit("na", "nb", percent) & _within("x", "y", "na", percent) & _within("y", "x", "nb", percent)).select("a", "b")
-    likely = written(likely, "likely-pairs")
+def _links(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, from their texts; only documents of pairs are shuffled."""
+    likely = written(pairs, "pairs")
     needed = only_members(docs, "doc_id", likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct())
     with_b = likely.join(needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     with_both = with_b.join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text")), "a").select("a", "b", "text", "text_b")
@@ -121,7 +124,7 @@ def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, perce
                 yield part.select(["a", "b"]).filter(pa.array(hit))
                 at = to
 
-    return with_both.mapInArrow(run, "a long, b long")
+    return with_both.mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_at_least(data, offsets, other, other_offsets, width: int, percent: int) -> np.ndarray:
@@ -140,39 +143,54 @@ def jaccard_at_least(data, offsets, other, other_offsets, width: int, percent: i
 def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc id, n_shingles, component_id: the least doc id reachable by links. A row per row of docs; a null id is a class of its own."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    levels = token_levels(base, width)
-    every = written(signatures(base, width, percent, levels), "signatures")
-    known = every.where("n > 0 AND doc_id IS NOT NULL")
-    lanes = [F.col(f"b{i}") for i in range(LANES)]
-    first = known.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "prefix", *lanes)).alias("s"))
+    every = written(signatures(base, width, percent, token_levels(base, width)), "signatures")
+    first = every.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "prefix")).alias("s"))
     sets = written(first.select("n", "d1", "d2", "s.*"), "sets")
 
-    # postings of tokens that several sets have in their prefix, with the first of these sets
-    by_token = Window.partitionBy("token")
-    postings = sets.select("doc_id", "n", F.explode("prefix").alias("token"))
-    postings = postings.withColumn("hub", F.min("doc_id").over(by_token)).withColumn("last", F.max("doc_id").over(by_token)).where("hub <> last").drop("last")
-    postings = written(postings, "postings")
-    stars = postings.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = written(_links(stars, sets, base, width, percent), "links")
-
-    # groups so far; the matrix: tokens that several groups have
+    # postings of tokens that several sets have in their prefix, of documents that share enough of them with others of fitting sizes
+    by_token, by_doc = Window.partitionBy("token"), Window.partitionBy("doc_id")
+    postings = sets.select("doc_id", "n", F.posexplode("prefix").alias("rank", "token"))
+    postings = postings.withColumns({"df": F.count("*").over(by_token), "lo": F.min("n").over(by_token), "hi": F.max("n").over(by_token)}).where("df > 1")
+    n, common = F.col("n"), F.count("*").over(by_doc)
+    smallest, largest = F.greatest("lo", F.floor(n * percent / 100)), F.least("hi", F.ceil(n * 100 / percent))
+    # at the sizes in between the bound is at most 2 lower, by rounding
+    enough = F.least(_least_shared(n, n, percent), _least_shared(n, smallest, percent), _least_shared(n, largest, percent)) - 2
+    postings = postings.withColumn("common", common).where(F.col("common") >= enough).withColumns({"common": common, "enough": F.min(enough).over(by_doc)}).where("common >= enough")
+    postings = written(postings.select("token", "doc_id", "n", "rank", "common"), "postings")
+
+    # stars: the document of a token that has most in common with others is closest to what all share
+    hub = F.max(F.struct("common", (-F.col("doc_id")).alias("id"), F.col("n").alias("size"))).over(by_token)
+    stars = postings.withColumn("hub", hub).where("doc_id <> -hub.id").groupBy("doc_id", "n", "hub").count().where(_sizes_fit("n", "hub.size", percent))
+    best = stars.groupBy("doc_id").agg(F.max(F.struct("count", "hub")).alias("s")).select(F.least(-F.col("s.hub.id"), "doc_id").alias("a"), F.greatest(-F.col("s.hub.id"), "doc_id").alias("b")).distinct()
+    links = written(_links(best, base, width, percent), "links")
+
+    # groups so far, and the matrix: tokens that several groups have
     group = components(links)
-    grouped = postings.select("token", "doc_id", "n").join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    grouped = postings.select("token", "doc_id", "n", "rank").join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = grouped.withColumn("lo", F.min("component").over(by_token)).withColumn("hi", F.max("component").over(by_token)).where("lo <> hi").drop("lo", "hi")
-    matrix = written(split, "matrix")
-    members = sets.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    unions = members.groupBy("component").agg(F.min("n").alias("least"), F.max("n").alias("most"), *[F.bit_or(f"b{i}").alias(f"u{i}") for i in range(LANES)])
-    rows = matrix.select("token", F.col("component").alias("group")).distinct()
-    asked = matrix.select("token", F.col("doc_id").alias("query"), F.col("component").alias("own"), "n").join(rows, "token").where("own > `group`").select("query", "group").distinct()
-    bound = asked.join(_lanes(sets, "doc_id", "query", "x", "nq"), "query").join(unions.withColumnRenamed("component", "group"), "group")
-    fits = (F.col("least") * percent <= F.col("nq") * 100) & (F.col("most") * 100 >= F.col("nq") * percent)
-    opened = bound.where(fits & _within("x", "u", "nq", percent)).select("query", "group")
-    opened = written(opened, "opened")
-    queries = matrix.select("token", F.col("doc_id").alias("query"), F.col("n").alias("nq")).join(opened, "query")
-    inside = matrix.select("token", F.col("doc_id").alias("member"), F.col("component").alias("group"), F.col("n").alias("nm"))
-    found = queries.join(inside, ["token", "group"]).where(_sizes_fit("nq", "nm", percent))
+    members = written(split, "members")
+    matrix = members.groupBy("token", F.col("component").alias("group")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    # each two groups once: the documents of the one are the queries. Of k prefix tokens that two sets share, at least the half
+    # are not among the last k / 2 of the query's prefix; so the union needs to hold that many of those before
+    asking = members.select("token", F.col("doc_id").alias("query"), F.col("component").alias("own"), "n", "rank")
+    fits = (F.col("least") * percent <= n * 100) & (F.col("most") * 100 >= n * percent)
+    nearest = F.least(F.greatest("n", "least"), "most")
+    at_least = F.greatest(F.lit(1), F.least(*[_least_shared(n, m, percent) for m in (nearest, F.greatest("least", F.floor(n * percent / 100)), F.least("most", F.ceil(n * 100 / percent)))]) - 2)
+    met = asking.join(matrix, (asking["token"] == matrix["token"]) & (F.col("own") > F.col("group")) & fits & (F.col("rank") < n - _rest(n, percent) - F.floor(at_least / 2)))
+    overlap = met.groupBy("query", "group").agg(F.count("*").alias("shared"), F.min(F.ceil(at_least / 2)).alias("bound"))
+    opened = written(overlap.where("shared >= bound").select("query", "group"), "opened")
+
+    # members of opened groups, one by one
+    nq, nm = F.col("nq"), F.col("nm")
+    k = _least_shared(nq, nm, percent)
+    early = (F.col("rq") <= nq - _rest(nq, percent) - k) & (F.col("rm") <= nm - _rest(nm, percent) - k)
+    queries = members.select(F.col("token").alias("t"), F.col("doc_id").alias("query"), F.col("n").alias("nq"), F.col("rank").alias("rq")).join(opened.withColumnRenamed("group", "g"), "query")
+    inside = members.select("token", F.col("doc_id").alias("member"), F.col("component").alias("group"), F.col("n").alias("nm"), F.col("rank").alias("rm"))
+    near = queries.join(inside, (F.col("t") == F.col("token")) & (F.col("g") == F.col("group")) & _sizes_fit("nq", "nm", percent) & early).select("query", "member", "nq", "nm").distinct()
+    prefix = lambda name: sets.select(F.col("doc_id").alias(name), F.col("prefix").alias(f"of_{name}"))
+    found = near.join(prefix("query"), "query").join(prefix("member"), "member").where(F.size(F.array_intersect("of_query", "of_member")) >= k)
     pairs = found.select(F.least("query", "member").alias("a"), F.greatest("query", "member").alias("b")).distinct()
-    more = written(_links(pairs, sets, base, width, percent), "links")
+    more = written(_links(pairs, base, width, percent), "links")
 
     final = components(links.unionByName(more)) if more.limit(1).count() else group
     classes = sets.select("n", "d1", "d2", F.col("doc_id").alias("node")).join(final, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("component"))
