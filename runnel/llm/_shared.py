@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -39,13 +40,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of an Arrow batch at most, so that long texts don't make large ones.
+BATCH_BYTES = 8 << 20
+
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of bytes in an Arrow batch to BATCH_BYTES; a smaller or own setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    limit = re.match(r"\d+", spark.conf.get(key, str(1 << 30)))
+    if limit is None or not 0 < int(limit.group()) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
-def columns_free(df: DataFrame, *names: str) -> DataFrame:
-    """df without columns whose names an operator wants to add; extra columns never clash with results."""
-    return df.drop(*names)
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def text_of(col: str = "text"):

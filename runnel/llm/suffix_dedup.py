@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import BYTE_HASH, Prefix, U, blocks, mix, text_buffer
-from ._shared import partitions, written
+from ._bytes import BYTE_HASH, Prefix, U, blocks, mix, text_buffer, tidy
+from ._shared import partitions, small_batches, written
 from ._sketches import members_apart, only_members
 
 LENGTH = 50
@@ -35,7 +35,7 @@ RANGE_BYTES = 8 << 20
 SAMPLE_DOCS = 2000
 SAMPLE_KEYS = 16
 #: Suffixes that a task holds before it sends them on.
-FLUSH = 500_000
+FLUSH = 300_000
 
 
 def token_hashes(data: np.ndarray) -> np.ndarray:
@@ -153,7 +153,7 @@ def _splitters(docs: DataFrame, ranges: int, count: int) -> np.ndarray:
                 pick = np.unique(np.linspace(0, len(r.token) - 1, SAMPLE_KEYS * (len(offsets) - 1)).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array((r.token[pick] >> U(1)).view(np.int64))], names=["k"])
 
-    keys = np.sort(np.array([r.k for r in chosen.select("text").mapInArrow(run, "k long").collect()], np.int64)).astype(U) << U(1)
+    keys = np.sort(np.array([r.k for r in chosen.select("text").mapInArrow(tidy(run), "k long").collect()], np.int64)).astype(U) << U(1)
     if not len(keys):
         return np.zeros(0, U)
     return np.unique(keys[(np.arange(1, ranges) * len(keys)) // ranges])
@@ -211,7 +211,7 @@ def _suffixes(docs: DataFrame, bounds: np.ndarray) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return docs.mapInArrow(run, _ASK)
+    return docs.mapInArrow(tidy(run), _ASK)
 
 
 def _compare(bucket: int, bodies: list[bytes]):
@@ -265,7 +265,7 @@ def _sorted_ranges(suffixes: DataFrame) -> DataFrame:
         if bodies:
             yield from _compare(bucket, bodies)
 
-    return suffixes.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _OUT)
+    return suffixes.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), _OUT)
 
 
 def _opened(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -331,9 +331,9 @@ def _opened(docs: DataFrame, asked: DataFrame) -> DataFrame:
             yield strings(held)
 
     joined = texts.join(per_doc, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "runs")
-    contexts = joined.mapInArrow(fetch, "key long, doc_id long, start int, body binary")
+    contexts = joined.mapInArrow(tidy(fetch), "key long, doc_id long, start int, body binary")
     n = partitions(docs.sparkSession)
-    return contexts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(compare, "doc_id long, start int, finish int")
+    return contexts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(tidy(compare), "doc_id long, start int, finish int")
 
 
 def _columns(batch: pa.RecordBatch):
@@ -343,6 +343,7 @@ def _columns(batch: pa.RecordBatch):
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, start, finish in bytes: repeated stretches of LENGTH bytes or more, maybe overlapping."""
+    small_batches(docs.sparkSession)
     known = docs.where("doc_id IS NOT NULL")
     size, count = known.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))), F.count("*")).first()
     bounds = _splitters(known, max(8, math.ceil((size or 0) / RANGE_BYTES)), count)
@@ -396,7 +397,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 rows.append((sum(b - a for a, b in cut), len(cut), hashlib.sha256(_cut(raw, cut)).hexdigest()))
             yield _rows(doc_id=batch.column(0), n_removed=pa.array([r[0] for r in rows], pa.int64()), n_spans=pa.array([r[1] for r in rows], pa.int64()), kept=pa.array([r[2] for r in rows], pa.string()))
 
-    done = texts.join(partly, "doc_id").mapInArrow(run, "doc_id long, n_removed long, n_spans long, kept string").dropDuplicates(["doc_id"])
+    done = texts.join(partly, "doc_id").mapInArrow(tidy(run), "doc_id long, n_removed long, n_spans long, kept string").dropDuplicates(["doc_id"])
     out = base.join(done, "doc_id", "left")
     zero = F.lit(0).cast("long")
     return out.select(
@@ -442,4 +443,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     maybe, stays = members_apart(docs, id_col, spans.select("__id"))
-    return stays.unionByName(maybe.join(spans, maybe[id_col] == spans["__id"], "left").select(*names, "spans").mapInArrow(run, schema))
+    return stays.unionByName(maybe.join(spans, maybe[id_col] == spans["__id"], "left").select(*names, "spans").mapInArrow(tidy(run), schema))
