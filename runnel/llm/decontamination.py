@@ -4,8 +4,8 @@ Each shard (about two MB of text of one task) becomes a sequence of word symbols
 separators, as are document ends. All windows of the items are searched backward at once through wavelet-tree ranks;
 occurrences are located by sampled suffix positions; overlapping removal spans merge. Shards need no shuffle.
 
-A window is `width` consecutive item words; an item of fewer words, but not none, is one window. Windows reach the tasks in
-blocks of at most MAX_WINDOWS, each a pass of its own over the shards, so the size of what is sent is bounded.
+A window is `width` consecutive item words; an item of fewer words, but not none, is one window. Windows reach the tasks as
+broadcasts of at most MAX_WINDOWS each, made and used one after another, so neither driver nor task holds more than one block.
 Null texts have no words; items without words have no windows; repeated item ids act as one item each time; repeated
 document rows are treated one by one. Empty tables give no rows, or no hits.
 """
@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER, BYTE_HASH, Prefix, blocks, byte_class, words
+from ._bytes import LOWER, BYTE_HASH, Prefix, blocks, byte_class, tidy, words
+from ._shared import small_batches
 from .fm_index import FMIndex
 
 #: Words: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z.
@@ -87,7 +88,7 @@ def occurrences(w: Windows, data: np.ndarray, offsets: np.ndarray):
     return s, e, first, word[index.locate(rows)], np.repeat(np.arange(len(found)), found)
 
 
-def _windows(items: list[tuple], width: int) -> Iterator[Windows]:
+def _windows(items: Iterator[tuple], width: int) -> Iterator[Windows]:
     part, n = [], 0
     for i, t in items:
         size = max(1, len((t or "").split()))
@@ -99,9 +100,23 @@ def _windows(items: list[tuple], width: int) -> Iterator[Windows]:
     yield Windows([x for _, x in part], [k for k, _ in part], width)
 
 
+def _broadcast(benchmark: DataFrame, width: int, item_col: str, item_text: str) -> list:
+    small_batches(benchmark.sparkSession)
+    sc = benchmark.sparkSession.sparkContext
+    return [sc.broadcast(w) for w in _windows(((r[0], r[1]) for r in benchmark.select(item_col, item_text).toLocalIterator()), width)]
+
+
+def _each(blocks_of: list) -> Iterator[Windows]:
+    """The blocks in a task; of several only one stays loaded."""
+    for b in blocks_of:
+        yield b.value
+        if len(blocks_of) > 1:
+            b.__dict__.pop("_value", None)
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document: n_words, spans array of (start, end) bytes of merged hit runs, n_hit words, item ids whose windows occur."""
-    blocks_of = list(_windows([(r[0], r[1]) for r in benchmark.select(item_col, item_text).toLocalIterator()], width))
+    blocks_of = _broadcast(benchmark, width, item_col, item_text)
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     kind = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))])
 
@@ -109,7 +124,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str
         for batch, data, offsets in blocks(batches, "text"):
             n = len(offsets) - 1
             hit_marks, pairs, first = None, [], None
-            for w in blocks_of:
+            for w in _each(blocks_of):
                 s, e, first, at, window = occurrences(w, data, offsets)
                 if hit_marks is None:
                     hit_marks = np.zeros(len(s) + 1, np.int64)
@@ -135,7 +150,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str
             total = np.concatenate([[0], np.cumsum(hit)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), pa.array(total[first[1:]] - total[first[:-1]]), pa.array(spans, kind.field("spans").type), pa.array(items, kind.field("items").type)], schema=kind)
 
-    return df.mapInArrow(run, "id long, n_words long, n_hit long, spans array<struct<start: int, end: int>>, items array<string>").withColumnRenamed("id", id_col)
+    return df.mapInArrow(tidy(run), "id long, n_words long, n_hit long, spans array<struct<start: int, end: int>>, items array<string>").withColumnRenamed("id", id_col)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_items: int = 1, text_col: str = "text") -> DataFrame:
@@ -143,14 +158,14 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, mi
 
     A document without hits stays byte for byte; n_chars, if there is such a column, is renewed for a changed one.
     """
-    ws = list(_windows([(r[0], r[1]) for r in benchmark.select("item_id", "text").toLocalIterator()], width))
+    blocks_of = _broadcast(benchmark, width, "item_id", "text")
     schema = docs.schema
     names = docs.columns
 
     def run(batches):
         for batch, data, offsets in blocks(batches, text_col):
             cuts: dict[int, list] = {}
-            for w in ws:
+            for w in _each(blocks_of):
                 s, e, first, at, window = occurrences(w, data, offsets)
                 items: dict[int, set] = {}
                 for a, k in zip(at.tolist(), window.tolist(), strict=True):
@@ -180,7 +195,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, mi
                 cols[k] = pa.array(n, batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def items_digest(items: list[str]) -> str:
