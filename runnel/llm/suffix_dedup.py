@@ -36,6 +36,8 @@ SAMPLE_DOCS = 2000
 SAMPLE_KEYS = 16
 #: Suffixes that a task holds before it sends them on.
 FLUSH = 300_000
+#: Over how many keys settled spans are dealt.
+SPREAD = 4096
 
 
 def token_hashes(data: np.ndarray) -> np.ndarray:
@@ -184,7 +186,8 @@ def _suffixes(docs: DataFrame, bounds: np.ndarray) -> DataFrame:
         bucket = np.searchsorted(bounds, token, "right")
         if known.any():
             k = int(known.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[known].astype(np.int32)), pa.array(ids[known]), pa.array(first[known].astype(np.int32)), pa.array((last[known] + LENGTH).astype(np.int32)), pa.nulls(k, pa.binary())], names=["bucket", "doc_id", "start", "finish", "body"])
+            # settled spans only pass through: dealt by document, not to the range of what may be a hot token
+            yield pa.RecordBatch.from_arrays([pa.array((-1 - ids[known] % SPREAD).astype(np.int32)), pa.array(ids[known]), pa.array(first[known].astype(np.int32)), pa.array((last[known] + LENGTH).astype(np.int32)), pa.nulls(k, pa.binary())], names=["bucket", "doc_id", "start", "finish", "body"])
         keep = ~known
         token, prints, ids, first, last, at, left, right, bucket = (x[keep] for x in (token, prints, ids, first, last, at, left, right, bucket))
         cut = np.flatnonzero(np.append(_heads(bucket), True)) if len(bucket) else np.zeros(1, np.int64)
@@ -346,7 +349,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     known = docs.where("doc_id IS NOT NULL")
     size, count = known.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))), F.count("*")).first()
-    bounds = _splitters(known, max(8, math.ceil((size or 0) / RANGE_BYTES)), count)
+    bounds = _splitters(known, max(2 * partitions(docs.sparkSession), math.ceil((size or 0) / RANGE_BYTES)), count)
     found = written(_sorted_ranges(_suffixes(known, bounds)), "suffix-ranges")
     spans = found.where("key = -1").select("doc_id", "start", "finish")
     return spans.unionByName(written(_opened(known, found.where("key >= 0")), "opened-runs"))
