@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._bytes import LOWER, Prefix, blocks, byte_class, words
+from ._bytes import LOWER, Prefix, blocks, byte_class, tidy, words
+from ._shared import small_batches
 
 DOCS_PER_LANG = 300
 CHUNKS = 6
@@ -33,7 +34,7 @@ ROUNDS = 40
 #: Bytes of ASCII letters and of all characters beyond ASCII.
 LETTER = byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 ASCII_LETTER = byte_class((0x41, 0x5A), (0x61, 0x7A))
-_K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+_K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
 def folded(data: np.ndarray) -> np.ndarray:
@@ -160,11 +161,12 @@ def _stretches(docs: DataFrame, text_col: str, label_col: str) -> DataFrame:
             idx = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(idx), batch.column(1).take(idx), pa.array([r[1] for r in rows], pa.list_(pa.binary()))], names=["r", "label", "words"])
 
-    return docs.select("r", F.col(label_col).alias("label"), F.col(text_col).alias("text")).mapInArrow(run, "r long, label string, words array<binary>")
+    return docs.select("r", F.col(label_col).alias("label"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "r long, label string, words array<binary>")
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> Model:
     """A model from a bounded sample of the labelled rows."""
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     counts = dict(rows.groupBy(label_col).count().collect())
     if not counts:
@@ -249,13 +251,15 @@ def _has_letter(text: str) -> bool:
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (all by default) with lang_pred, score and runs: array of (lang, words) over the text's words in order."""
+    small_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "runs")]
-    df = docs.select(*keep, F.col(text_col).alias("__text"))
+    source = text_col if text_col in keep else "__text"  # a text that is kept is sent once
+    df = docs.select(*keep) if source == text_col else docs.select(*keep, F.col(text_col).alias(source))
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("runs", RUNS)
     run_type = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int32())]))
 
     def run(batches):
-        for batch, data, offsets in blocks(batches, "__text"):
+        for batch, data, offsets in blocks(batches, source):
             _, _, first, post = model.words(data, offsets)
             n = len(offsets) - 1
             mass = np.concatenate([np.zeros((1, post.shape[1])), np.cumsum(post, 0, dtype=np.float64)])
@@ -279,7 +283,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
                     runs[doc[a]].append({"lang": model.labels[word_label[a]], "words": b - a})
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(langs), pa.array(scores), pa.array(runs, run_type)], names=[*keep, "lang_pred", "score", "runs"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def fold(id_col: str = "doc_id"):

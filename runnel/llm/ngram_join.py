@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._bytes import BYTE_HASH, LOWER, Prefix, blocks, byte_class, mix, shingles, words
+from ._bytes import BYTE_HASH, LOWER, Prefix, blocks, byte_class, mix, shingles, tidy, words
 from ._graph import components
-from ._shared import written
+from ._shared import small_batches, written
 from ._sketches import combined, members_apart, only_members
 
 IN_WORD = ~byte_class((0x20, 0x20), (0x09, 0x0D))
@@ -82,7 +82,7 @@ def signatures(docs: DataFrame, width: int, percent: int, levels: np.ndarray) ->
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(tokens[pick].view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(d1), pa.array(d2), prefix], names=["doc_id", "n", "d1", "d2", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, d1 long, d2 long, prefix array<long>")
 
 
 def rest_size(n, percent: int):
@@ -124,7 +124,7 @@ def _links(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
                 yield part.select(["a", "b"]).filter(pa.array(hit))
                 at = to
 
-    return with_both.mapInArrow(run, "a long, b long").distinct()
+    return with_both.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def jaccard_at_least(data, offsets, other, other_offsets, width: int, percent: int) -> np.ndarray:
@@ -142,6 +142,7 @@ def jaccard_at_least(data, offsets, other, other_offsets, width: int, percent: i
 
 def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc id, n_shingles, component_id: the least doc id reachable by links. A row per row of docs; a null id is a class of its own."""
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     every = written(signatures(base, width, percent, token_levels(base, width)), "signatures")
     first = every.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "prefix")).alias("s"))

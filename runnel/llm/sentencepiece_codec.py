@@ -25,6 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from ._bytes import give_back, tidy
+from ._shared import small_batches
+
 _IDS = ArrayType(IntegerType())
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -235,7 +238,7 @@ def _codec(model: bytes) -> Codec:
 
 
 #: Words whose ids a task remembers; beyond it the memory starts anew, which changes no result.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 
 
 def encode(docs: DataFrame, model: bytes, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -243,8 +246,10 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", keep: list[str
 
     model is the content of a model file, of a few MB at most.
     """
+    small_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "n_ids", "decoded_sha256", "exact")]
-    df = docs.select(*keep, docs[text_col].alias("__text"))
+    column = keep.index(text_col) if text_col in keep else len(keep)  # a text that is kept is sent once
+    df = docs.select(*keep) if column < len(keep) else docs.select(*keep, docs[text_col].alias("__text"))
     schema = docs.select(*keep).schema.add("ids", _IDS).add("n_ids", "long").add("decoded_sha256", "string").add("exact", "boolean")
 
     def run(batches):
@@ -254,7 +259,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", keep: list[str
         decoded: list[bytes] = []
         flat, bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
+            texts = batch.column(column).to_pylist()
             for a in range(0, len(texts), 512):
                 part = [t or "" for t in texts[a : a + 512]]
                 if len(known) > REMEMBERED:
@@ -291,8 +296,10 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", keep: list[str
                 cut = batch.slice(a, len(part))
                 lists = pa.ListArray.from_arrays(pa.array(doc_ends.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*[cut.column(i) for i in range(len(keep))], lists, pa.array(np.diff(doc_ends)), pa.array(shas), pa.array(exact)], names=[*keep, "ids", "n_ids", "decoded_sha256", "exact"])
+            del batch, texts
+            give_back()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def decode(encoded: DataFrame, model: bytes, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -306,5 +313,5 @@ def decode(encoded: DataFrame, model: bytes, ids_col: str = "ids", out: str = "d
             texts = [codec.decode(ids or []) for ids in batch.column(names.index(ids_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, out])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, StringType())]))
+    return df.mapInArrow(tidy(run), StructType([*df.schema.fields, StructField(out, StringType())]))
 
