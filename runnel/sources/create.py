@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,24 +50,23 @@ def ticks(spark: SparkSession, start: str, end: str, every: str) -> Flow:
     return Flow(base.select("ts", ((F.unix_micros("ts") - first) / step).cast("long").alias("tick")), "tick", ts="ts")
 
 
-def generator(spark: SparkSession, state, step: Callable, kind: str, at_most: int = 1_000_000) -> Flow:
-    """A pull-based unfold: step(state) gives (state, items) or None at the end. Runs in one task, in a table function."""
-    from pyspark.sql.functions import udtf
-
-    @udtf(returnType=f"pos: bigint, item: {kind}")
-    class Unfold:
-        def eval(self):
-            s, n = state, 0
-            while n < at_most:
-                got = step(s)
-                if got is None:
-                    return
-                s, out = got
-                for x in out:
-                    n += 1
-                    yield n, x
-
-    return Flow(Unfold(), "pos")
+def generator(spark: SparkSession, state, step: Callable, kind: str, at_most: int | None = None) -> Flow:
+    """A pull-based unfold: step(state) gives (state, items) or None at the end.
+
+    Runs in one task, which sends items on as they come and holds those of one step. The end is step's alone: an unfold that
+    never ends needs at_most, which keeps just so many items.
+    """
+
+    def unfold(start):
+        s = start
+        while (got := step(s)) is not None:
+            s, out = got
+            yield from out
+
+    def numbered(start):
+        return enumerate(islice(unfold(start), at_most), 1)
+
+    return Flow(spark.createDataFrame(spark.sparkContext.parallelize([state], 1).flatMap(numbered), f"pos long, item {kind}"), "pos")
 
 
 def recurrence(spark: SparkSession, sql: str, name: str = "pos") -> Flow:

@@ -167,6 +167,13 @@ def test_sources(spark):
     assert values(create.optional(spark, None, "int")) == []
 
 
+def test_a_long_unfold_is_whole(spark):
+    step = lambda s: (s + 1000, range(s, s + 1000)) if s < 1_200_000 else None
+    df = create.generator(spark, 0, step, "bigint").df
+    assert df.agg(F.count("*"), F.max("pos"), F.max("item"), F.sum(F.col("pos") - F.col("item"))).first() == (1_200_000, 1_200_000, 1_199_999, 1_200_000)
+    assert values(create.generator(spark, 0, lambda s: (s + 1, [s, s]), "int", at_most=5)) == [0, 0, 1, 1, 2]
+
+
 def test_stages(spark):
     f = ints(spark, range(1, 10))
     out = compile_stages(f, [("filter", {"predicate": "item % 2 = 1"}), ("skip", {"n": 1}), ("limit", {"n": 3}), ("collect", {"value": "item"})])
