@@ -7,8 +7,8 @@ files that the manifest does not name, and these are deleted with the temporary
 give the same files, whatever the cluster.
 
 Of records with equal payloads of at least `revisit_bytes` the one with the smallest page id is a response, the others are
-revisits that refer to it; rows that repeat a page id and payload are responses each. Null html is an empty payload, a
-null url an empty target. Null page ids are written last and refer as others do. An empty table gives no files and no rows.
+revisits that refer to it, row by row: an id may have payloads of both kinds. Rows that repeat a page id and payload of which no
+smaller id has a copy are responses each. Null html is an empty payload, a null url an empty target. Null page ids are written last and refer as others do. An empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -72,11 +72,11 @@ def _info(name: str, date: str) -> bytes:
 
 
 def revisits(pages: DataFrame, revisit_bytes: int = 0) -> DataFrame:
-    """page_id and refers_to of the pages whose payload an earlier page has."""
+    """page_id, digest (SHA-256) and hash (xxhash64) of the payload, and refers_to, of the pages whose payload an earlier page has."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    ids = pages.where(F.octet_length(html) >= revisit_bytes).select("page_id", F.sha2(html.cast("binary"), 256).alias("digest"))
+    ids = pages.where(F.octet_length(html) >= revisit_bytes).select("page_id", F.sha2(html.cast("binary"), 256).alias("digest"), F.xxhash64(html).alias("hash"))
     firsts = ids.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return ids.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "refers_to").distinct()
+    return ids.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "hash", "refers_to").distinct()
 
 
 def write(pages: DataFrame, path: str, revisit_bytes: int = 0, roll_bytes: int = ROLL_BYTES, range_bytes: int = RANGE_BYTES, date: str = DATE) -> DataFrame:
@@ -85,10 +85,12 @@ def write(pages: DataFrame, path: str, revisit_bytes: int = 0, roll_bytes: int =
     sized = pages.select(F.coalesce(F.col("page_id"), F.lit((1 << 63) - 1)).alias("key"), F.col("page_id").alias("id"), (F.coalesce(F.octet_length("html"), F.lit(0)) + 400).cast("long").alias("size"))
     total = sized.agg(F.sum("size")).first()[0] or 0
     bounds = splitters(sized, min(MAX_RANGES, max(16, total // range_bytes)))
-    rows = pages.select("page_id", F.col("url"), F.col("html"), F.lit(None).cast("long").alias("refers_to"), F.lit(True).alias("page"))
-    marks = revisits(pages, revisit_bytes).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "refers_to", F.lit(False).alias("page"))
+    none = F.lit(None).cast("string")
+    rows = pages.select("page_id", F.col("url"), F.col("html"), F.lit(None).cast("long").alias("refers_to"), none.alias("digest"), F.xxhash64(F.coalesce("html", F.lit(""))).alias("hash"), F.lit(True).alias("page"))
+    marks = revisits(pages, revisit_bytes).select("page_id", none.alias("url"), none.alias("html"), "refers_to", "digest", "hash", F.lit(False).alias("page"))
     both = rows.unionByName(marks).withColumn("range", range_of(F.coalesce(F.col("page_id"), F.lit((1 << 63) - 1)), bounds))
-    order = [F.col("range"), F.asc_nulls_last("page_id"), F.col("page"), F.col("url"), F.xxhash64("html")]
+    # the marks of an id and hash come just before its pages
+    order = [F.col("range"), F.asc_nulls_last("page_id"), F.col("hash"), F.col("page"), F.col("url")]
     dealt = both.repartition(partitions(spark), "range").sortWithinPartitions(*order)
     attempt_dir = f"{path.rstrip('/')}/_temporary"
 
@@ -96,7 +98,7 @@ def write(pages: DataFrame, path: str, revisit_bytes: int = 0, roll_bytes: int =
         store, root = pafs.FileSystem.from_uri(attempt_dir)
         store.create_dir(root, recursive=True)
         attempt = uuid.uuid4().hex
-        out, state, marked = None, {}, (None, None)
+        out, state, marked, marks = None, {}, None, {}
 
         def close():
             out.write(state["buffer"])
@@ -105,12 +107,14 @@ def write(pages: DataFrame, path: str, revisit_bytes: int = 0, roll_bytes: int =
 
         for batch in batches:
             files = []
-            html = batch.column(2)
+            html = batch.column("html")
             data, offs = text_buffer(html.fill_null("") if html.null_count else html)
-            ids, urls, refers, page, ranges = (batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5))
+            ids, urls, refers, digests, hashes, page, ranges = (batch.column(c).to_pylist() for c in ("page_id", "url", "refers_to", "digest", "hash", "page", "range"))
             for i, pid in enumerate(ids):
+                if marked != (pid, hashes[i]):
+                    marked, marks = (pid, hashes[i]), {}
                 if not page[i]:
-                    marked = (pid, refers[i])
+                    marks[digests[i]] = refers[i]
                     continue
                 if out is None or state["range"] != ranges[i] or state["bytes"] >= roll_bytes:
                     if out is not None:
@@ -120,8 +124,9 @@ def write(pages: DataFrame, path: str, revisit_bytes: int = 0, roll_bytes: int =
                     state = {"range": ranges[i], "part": part, "name": name, "temp": f"{name}.{attempt}", "records": 0, "buffer": bytearray(_info(name, date)), "bytes": 0}
                     state["bytes"] = len(state["buffer"])
                     out = store.open_output_stream(f"{root}/{state['temp']}")
-                revisit = marked[1] is not None and marked[0] == pid
-                raw = _gzip(record(pid, urls[i] or "", bytes(data[offs[i] : offs[i + 1]]), marked[1] if revisit else None, revisit, date))
+                payload = bytes(data[offs[i] : offs[i + 1]])
+                refers_to = marks.get(hashlib.sha256(payload).hexdigest()) if marks else None
+                raw = _gzip(record(pid, urls[i] or "", payload, refers_to, refers_to is not None, date))
                 state["buffer"] += raw
                 state["bytes"] += len(raw)
                 state["records"] += 1

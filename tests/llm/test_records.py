@@ -99,6 +99,17 @@ def test_warc_round_trip(spark, tmp_path):
     warc.write(pages.where("false"), empty)
 
 
+def test_warc_ids_with_several_payloads(spark, tmp_path):
+    """Only the rows whose own payload an earlier page has are revisits; an id may have several, and so may the null id."""
+    pages = [(2, "u", "A"), (5, "u", "A"), (5, "u", "B"), (3, "u", "C"), (5, "v", "C"), (None, "u", "A"), (None, "u", "D"), (None, "v", "C"), (7, "u", None), (8, "u", ""), (8, "u", "E")]
+    at = f"file://{tmp_path}/w"
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string"), at)
+    digest = lambda html: base64.b32encode(hashlib.sha1((html or "").encode()).digest()).decode()
+    got = {(r.page_id, r.url, r.payload_digest, r.refers_to, r.payload and bytes(r.payload).decode()) for r in warc.read(spark, at, payloads=True).collect()}
+    refers = {(5, "A"): 2, (5, "C"): 3, (None, "A"): 2, (None, "C"): 3, (8, ""): 7}
+    assert got == {(p, u, digest(h), refers.get((p, h)), None if (p, h) in refers else h or b"") for p, u, h in pages}
+
+
 def changes(spark, rows):
     return spark.createDataFrame(rows, "op string, source string, lang string, tokenizer_version string, tokens long, old_tokens long")
 
