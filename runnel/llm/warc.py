@@ -28,7 +28,10 @@ from ._shared import partitions, written
 from .sharding import range_of, splitters
 
 ROLL_BYTES = 16 << 20
-RANGE_BYTES = 16 << 20
+#: Bytes of html in a range for a byte of roll_bytes: html that compresses to a quarter fills four files a range.
+RANGE_ROLLS = 16
+#: Bytes of a file that the reader decompresses at once.
+READ_BYTES = 64 << 10
 MAX_RANGES = 4096
 DATE = "1970-01-01T00:00:00Z"
 CRLF = b"\r\n"
@@ -79,12 +82,20 @@ def revisits(pages: DataFrame, revisit_bytes: int = 0) -> DataFrame:
     return ids.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "hash", "refers_to").distinct()
 
 
-def write(pages: DataFrame, path: str, revisit_bytes: int = 0, roll_bytes: int = ROLL_BYTES, range_bytes: int = RANGE_BYTES, date: str = DATE) -> DataFrame:
-    """Writes pages (page_id, url, html) as path/data/*.warc.gz and returns the manifest: a row a file."""
+def range_count(total: int, roll_bytes: int = ROLL_BYTES, range_bytes: int | None = None) -> int:
+    return min(MAX_RANGES, max(16, total // (range_bytes or RANGE_ROLLS * roll_bytes)))
+
+
+def write(pages: DataFrame, path: str, revisit_bytes: int = 0, roll_bytes: int = ROLL_BYTES, range_bytes: int | None = None, date: str = DATE) -> DataFrame:
+    """Writes pages (page_id, url, html) as path/data/*.warc.gz and returns the manifest: a row a file.
+
+    A range has about range_bytes of html, RANGE_ROLLS times roll_bytes by default, so that rolling decides the sizes of files;
+    small tables, of less than 16 such ranges, are cut into 16 all the same.
+    """
     spark = pages.sparkSession
     sized = pages.select(F.coalesce(F.col("page_id"), F.lit((1 << 63) - 1)).alias("key"), F.col("page_id").alias("id"), (F.coalesce(F.octet_length("html"), F.lit(0)) + 400).cast("long").alias("size"))
     total = sized.agg(F.sum("size")).first()[0] or 0
-    bounds = splitters(sized, min(MAX_RANGES, max(16, total // range_bytes)))
+    bounds = splitters(sized, range_count(total, roll_bytes, range_bytes))
     none = F.lit(None).cast("string")
     rows = pages.select("page_id", F.col("url"), F.col("html"), F.lit(None).cast("long").alias("refers_to"), none.alias("digest"), F.xxhash64(F.coalesce("html", F.lit(""))).alias("hash"), F.lit(True).alias("page"))
     marks = revisits(pages, revisit_bytes).select("page_id", none.alias("url"), none.alias("html"), "refers_to", "digest", "hash", F.lit(False).alias("page"))
@@ -167,11 +178,16 @@ def _manifest(files: list[tuple]) -> pa.RecordBatch:
 
 def records(raw: bytes):
     """Headers (a dict with lower-case names) and block of each record of a gzip file."""
-    at = 0
+    at, view = 0, memoryview(raw)
     while at < len(raw):
-        z = zlib.decompressobj(31)
-        body = z.decompress(raw[at:] if at == 0 else memoryview(raw)[at:])
-        at = len(raw) - len(z.unused_data)
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:  # in pieces: what follows a record is copied each time
+            if at >= len(raw):
+                raise ValueError("a record is cut off")
+            parts.append(z.decompress(view[at : at + READ_BYTES]))
+            at = min(len(raw), at + READ_BYTES)
+        at -= len(z.unused_data)
+        body = b"".join(parts)
         head, _, block = body.partition(CRLF * 2)
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):

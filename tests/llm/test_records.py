@@ -110,6 +110,22 @@ def test_warc_ids_with_several_payloads(spark, tmp_path):
     assert got == {(p, u, digest(h), refers.get((p, h)), None if (p, h) in refers else h or b"") for p, u, h in pages}
 
 
+def test_warc_files_roll_by_compressed_size(spark, tmp_path):
+    """With ranges of the default size it is rolling that ends most files: a range fills several, compressed to a quarter."""
+    assert [n // warc.range_count(n) // 4 // warc.ROLL_BYTES for n in (8 << 30, 64 << 30, 1 << 40)] == [4, 4, 4]
+    word = "concat_ws(' ', transform(sequence(1, 500), i -> hex(xxhash64(id, i % 100))))"
+    pages = spark.range(1200).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.expr(word).alias("html"))
+    at, roll = f"file://{tmp_path}/w", 40_000
+    files = warc.write(pages, at, roll_bytes=roll).collect()
+    full = [f for f in files if f.bytes >= roll]
+    assert len(full) > len(files) / 2 and max(f.bytes for f in files) < 1.5 * roll
+    assert all(f.bytes == Path(tmp_path, "w", "data", f.name).stat().st_size for f in files)
+    assert warc.read(spark, at).agg(F.count("*"), F.countDistinct("page_id"), F.sum("payload_bytes")).first() == (1200, 1200, pages.agg(F.sum(F.octet_length("html"))).first()[0])
+    raw = Path(tmp_path, "w", "data", files[0].name).read_bytes()
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.records(raw[:-5]))
+
+
 def changes(spark, rows):
     return spark.createDataFrame(rows, "op string, source string, lang string, tokenizer_version string, tokens long, old_tokens long")
 
