@@ -165,22 +165,21 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, mi
     def run(batches):
         for batch, data, offsets in blocks(batches, text_col):
             cuts: dict[int, list] = {}
+            owners: dict[int, set] = {}
             for w in _each(blocks_of):
                 s, e, first, at, window = occurrences(w, data, offsets)
-                items: dict[int, set] = {}
                 for a, k in zip(at.tolist(), window.tolist(), strict=True):
                     d = int(np.searchsorted(first, a, "right")) - 1
-                    items.setdefault(d, set()).update(w.owner[w.owner_start[k] : w.owner_start[k + 1]].tolist())
-                    cuts.setdefault(d, []).append((int(s[a] - offsets[d]), int(e[a + w.lengths[k] - 1] - offsets[d]), w.ids[w.owner[w.owner_start[k]]]))
+                    owners.setdefault(d, set()).update(w.ids[i] for i in w.owner[w.owner_start[k] : w.owner_start[k + 1]].tolist())
+                    cuts.setdefault(d, []).append((int(s[a] - offsets[d]), int(e[a + w.lengths[k] - 1] - offsets[d])))
+            cuts = {d: spans for d, spans in cuts.items() if len(owners[d]) >= min_items}
             if not cuts:
                 yield batch
                 continue
             texts = batch.column(names.index(text_col)).to_pylist()
             for d, spans in cuts.items():
-                if len({i for *_, i in spans}) < min_items:
-                    continue
                 raw, out, to = (texts[d] or "").encode(), [], 0
-                for a, b, _ in sorted(spans):
+                for a, b in sorted(spans):
                     if a > to:
                         out.append(raw[to:a])
                     to = max(to, b)

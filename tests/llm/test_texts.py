@@ -74,6 +74,18 @@ def test_windows_in_blocks_give_the_same(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_hit, r["items"]) for r in decontamination.scan(docs, bench).collect()) == whole
 
 
+def test_items_that_share_their_windows_count_each(spark, monkeypatch):
+    same, other = "alpha beta gamma delta", "one two three four"
+    bench = spark.createDataFrame([(1, same), (2, same), (3, other)], "item_id long, text string")
+    docs = documents(spark, [f"x {same} y", f"x {other} y", f"{other} and {same}"]).withColumn("n_chars", F.lit(7).cast("long"))
+    for most in (decontamination.MAX_WINDOWS, 4):  # the items in one block, and in several
+        monkeypatch.setattr(decontamination, "MAX_WINDOWS", most)
+        cut = lambda n: [(r.text, r.n_chars) for r in decontamination.decontaminated(docs, bench, min_items=n).orderBy("doc_id").collect()]
+        assert cut(1) == [("x  y", 4), ("x  y", 4), (" and ", 5)]
+        assert cut(2) == [("x  y", 4), (f"x {other} y", 7), (" and ", 5)]
+        assert cut(3) == [(f"x {same} y", 7), (f"x {other} y", 7), (" and ", 5)]
+
+
 def test_language_of_held_out_documents(spark):
     rows = op10_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r.held_out and r.lang]
