@@ -379,15 +379,24 @@ def _cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc id, n_bytes, n_removed, n_spans, kept_sha256. Texts are shuffled only for documents that lose a part of their bytes."""
+    """doc id, n_bytes, n_removed, n_spans, kept_sha256. Texts are shuffled only for documents whose spans leave a part of their bytes."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     whole = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     base = written(docs.select("doc_id", F.octet_length(whole).cast("long").alias("n_bytes"), F.sha2(whole, 256).alias("sha")), "sizes")
-    firsts = base.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    base = base.join(firsts, "sha").withColumn("copy", (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= LENGTH)).drop("first")
-    spans = _per_doc(docs)
-    copies = base.where("copy").select("doc_id").distinct()
-    partly = written(spans.join(copies, "doc_id", "left_anti"), "spans")
+
+    def measure(batches):
+        for batch in batches:
+            spans = batch.column(1)
+            cuts = [_merged(spans, d) for d in range(batch.num_rows)]
+            removed = pa.array([sum(b - a for a, b in cut) for cut in cuts], pa.int64())
+            merged = pa.array([[{"start": a, "finish": b} for a, b in cut] for cut in cuts], spans.type)
+            yield _rows(doc_id=batch.column(0), spans=merged, n_removed=removed, n_spans=pa.array([len(cut) for cut in cuts], pa.int64()))
+
+    kind = "doc_id long, spans array<struct<start: int, finish: int>>, n_removed long, n_spans long"
+    cuts = written(_per_doc(docs).mapInArrow(tidy(measure), kind).join(base.select("doc_id", "n_bytes").dropDuplicates(["doc_id"]), "doc_id"), "spans")
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    whole_gone = cuts.where("n_removed = n_bytes").select("doc_id", "n_removed", "n_spans", nothing.alias("kept"))
+    partly = cuts.where("n_removed < n_bytes").select("doc_id", "spans")
     texts = only_members(docs, "doc_id", partly.select("doc_id"))
 
     def run(batches):
@@ -401,13 +410,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield _rows(doc_id=batch.column(0), n_removed=pa.array([r[0] for r in rows], pa.int64()), n_spans=pa.array([r[1] for r in rows], pa.int64()), kept=pa.array([r[2] for r in rows], pa.string()))
 
     done = texts.join(partly, "doc_id").mapInArrow(tidy(run), "doc_id long, n_removed long, n_spans long, kept string").dropDuplicates(["doc_id"])
-    out = base.join(done, "doc_id", "left")
+    out = base.join(done.unionByName(whole_gone), "doc_id", "left")
     zero = F.lit(0).cast("long")
     return out.select(
         F.col("doc_id").alias(id_col), "n_bytes",
-        F.when(F.col("copy"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
-        F.when(F.col("copy"), F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
-        F.when(F.col("copy"), F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+        F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"),
     )
 
 

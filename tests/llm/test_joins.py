@@ -59,6 +59,15 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.repeats(docs.where("false")).count() == 0
 
 
+def test_copies_are_answered_by_the_suffix_array(spark, monkeypatch):
+    docs = documents(spark, ["a text of its own, long enough to be a passage of more than fifty bytes"] * 3 + ["short"] * 2)
+    got = lambda: [(r.n_removed, r.n_spans) for r in suffix_dedup.repeats(docs).orderBy("doc_id").collect()]
+    assert got() == [(0, 0), (71, 1), (71, 1), (0, 0), (0, 0)]
+    none = spark.createDataFrame([], "doc_id long, start int, finish int")
+    monkeypatch.setattr(suffix_dedup, "repeated_spans", lambda docs: none)
+    assert got() == [(0, 0)] * 5
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(30)] + [(100, 101), (101, 102), (200, 200)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
