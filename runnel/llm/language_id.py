@@ -5,7 +5,7 @@ word's posterior over the languages, so that code-switched text is labelled word
 with the most posterior mass, and its share as score.
 
 Training uses a bounded sample: about DOCS_PER_LANG labelled documents of each language chosen by a hash of the id, of each up to
-CHUNKS stretches of CHUNK_WORDS words spread over the whole text. Stretches of different documents follow each other in
+CHUNKS stretches of CHUNK_WORDS whole words, of any length, spread over the whole text. Stretches of different documents follow each other in
 the training sequences, so that switches are learned. Prediction reads every whole text. Only the text is a feature.
 
 Null text, empty text and text without a letter: `und` with score 0. Labels that are null are not learned. With no
@@ -157,7 +157,7 @@ def _stretches(docs: DataFrame, text_col: str, label_col: str) -> DataFrame:
                 m = min(CHUNKS, -(-n // CHUNK_WORDS))
                 for c in range(m):
                     a = int(first[d]) + (c * max(0, n - CHUNK_WORDS) // max(1, m - 1) if m > 1 else 0)
-                    rows.append((d, [low[s[i] : min(e[i], s[i] + 64)] for i in range(a, min(a + CHUNK_WORDS, int(first[d + 1])))]))
+                    rows.append((d, [low[s[i] : e[i]] for i in range(a, min(a + CHUNK_WORDS, int(first[d + 1])))]))
             idx = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(idx), batch.column(1).take(idx), pa.array([r[1] for r in rows], pa.list_(pa.binary()))], names=["r", "label", "words"])
 

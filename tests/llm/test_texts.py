@@ -93,6 +93,15 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_training_words_are_whole(spark):
+    """Two languages whose words differ only after 100 bytes."""
+    words = [chr(97 + i % 26) * 100 + chr(97 + i // 26) * 3 for i in range(60)]
+    texts = [" ".join(w + end for w in words[k : k + 20]) for end in ("ing", "heit") for k in range(40)]
+    docs = documents(spark, texts).withColumn("lang", F.when(F.col("doc_id") < 40, "aa").otherwise("bb"))
+    assert {r.lang_pred for r in language_id.identify(docs.where("doc_id < 40"), language_id.train(docs)).collect()} == {"aa"}
+    assert {r.lang_pred for r in language_id.identify(docs.where("doc_id >= 40"), language_id.train(docs)).collect()} == {"bb"}
+
+
 def test_language_edges_and_switches(spark):
     train = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_id.train(train)
