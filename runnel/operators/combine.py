@@ -7,18 +7,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .windows import alike
+
 
 class Combinations:
     def zip(self, *others, names: list[str] | None = None) -> DataFrame:
         """Items by position, up to the shortest: keys, pos, and a struct item1, item2, ... of each flow's columns but keys and order ranges."""
         flows = [self, *others]
         names = names or [f"item{i + 1}" for i in range(len(flows))]
-        sides = []
+        out = None
         for f, n in zip(flows, names, strict=True):
-            cols = [c for c in f.df.columns if c not in f.by]
-            keys = [F.col(k).alias(t) for k, t in zip(f.by, self.by, strict=True)]
-            sides.append(f.with_pos("pos").select(*keys, "pos", F.struct(*cols).alias(n)))
-        return reduce(lambda a, b: a.join(b, [*self.by, "pos"]), sides)
+            item = F.struct(*[c for c in f.df.columns if c not in f.by]).alias(n)
+            at = f.with_pos("__pos")
+            if out is None:
+                out = at.select(*f.by, F.col("__pos").alias("pos"), item)
+                continue
+            keys = [f"__k{i}" for i in range(len(self.by))]
+            side = at.select(*[F.col(k).alias(t) for k, t in zip(f.by, keys, strict=True)], "__pos", item)
+            out = out.join(side, alike([*self.by, "pos"], [*keys, "__pos"])).drop(*keys, "__pos")
+        return out
 
     def latest(self, *others, on: str, names: list[str] | None = None) -> DataFrame:
         """The latest item of each flow at every arrival, once all have one: keys, on, source, item1, item2, ...
@@ -27,8 +34,6 @@ class Combinations:
         """
         flows = [self, *others]
         names = names or [f"item{i + 1}" for i in range(len(flows))]
-        from pyspark.sql import Window
-
         tagged = []
         for i, f in enumerate(flows):
             cols = [c for c in f.df.columns if c not in f.by]
@@ -36,8 +41,7 @@ class Combinations:
             keys = [F.col(k).alias(t) for k, t in zip(f.by, self.by, strict=True)]
             tagged.append(pos.select(*keys, F.col(on), F.lit(i).alias("source"), "__pos", F.struct(*cols).alias(names[i])))
         every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-        w = Window.partitionBy(*self.by).orderBy(on, "source", "__pos").rowsBetween(Window.unboundedPreceding, 0)
-        filled = every.withColumns({n: F.last(n, ignorenulls=True).over(w) for n in names})
+        filled = self.like(every, order=[on, "source", "__pos"]).running_all(**{n: ("last", F.col(n)) for n in names})
         return filled.where(reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])).drop("__pos")
 
     def merge(self, *others):
@@ -52,6 +56,3 @@ class Combinations:
         return self.like(reduce(lambda a, b: a.unionByName(b), frames), order=[source, *self.order])
 
 
-def tuple_nth(t: Column, n: int) -> Column:
-    """The nth field (from 1) of a tuple struct."""
-    return t[f"item{n}"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .windows import alike
+
 
 class Failures:
     def if_empty(self, other):
@@ -25,18 +27,20 @@ class Failures:
         """The other flow after this one's completion."""
         return self.concat(other)
 
-    def _upto_failure(self, ok: Column):
-        return self.take_while(ok)
-
     def recover_with_completion(self, failed: Column):
         """Items before the first failed one (of each group)."""
-        return self._upto_failure(~F.coalesce(failed, F.lit(False)))
+        return self.take_while(~F.coalesce(failed, F.lit(False)))
 
     def recover_with(self, failed: Column, other):
-        """Items before the first failed one, then the other flow, if any failed. For flows without keys."""
+        """Items before the first failed one, then the other flow's, if any failed; in a flow with keys group by group."""
         kept = self.recover_with_completion(failed)
-        any_failed = self.df.where(F.coalesce(failed, F.lit(False))).limit(1).select(F.lit(1).alias("__one"))
-        fallback = other.df.withColumn("__one", F.lit(1)).join(F.broadcast(any_failed), "__one", "left_semi").drop("__one")
+        bad = self.df.where(F.coalesce(failed, F.lit(False)))
+        if self.by:
+            groups = bad.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(self.by)]).distinct()
+            fallback = other.df.join(groups, alike(self.by, groups.columns), "left_semi")
+        else:
+            some = bad.limit(1).select(F.lit(1).alias("__one"))
+            fallback = other.df.withColumn("__one", F.lit(1)).join(F.broadcast(some), "__one", "left_semi").drop("__one")
         return kept.concat(other.like(fallback.select(*self.df.columns)))
 
     def recover_with_item(self, failed: Column, **values: Column):
@@ -47,14 +51,12 @@ class Failures:
         kept = self.recover_with_completion(failed)
         return self.like(kept.df.unionByName(first.select(*self.df.columns)))
 
-    def gaps(self, seconds: float) -> Column:
-        """Whether no item came for longer than so many seconds before this one."""
+    def with_gaps(self, seconds: float, name: str = "gap"):
+        """The items with whether none came for longer than so many seconds before this one. Items without a time have and make no gap."""
         t = F.unix_micros(F.col(self.ts).cast("timestamp"))
-        return t - F.lag(t).over(self.window()) > int(seconds * 1_000_000)
+        before = self.running_all(exclusive=True, __before=("last", t))
+        return self.like(before.withColumn(name, F.coalesce(t - F.col("__before") > int(seconds * 1_000_000), F.lit(False))).drop("__before"))
 
     def until_inactive(self, seconds: float):
         """Items up to the first gap longer than `seconds`; the rest has timed out."""
-        if not self.by:
-            raise ValueError("gaps need keys: an unkeyed flow would be one task")
-        marked = self.like(self.df.withColumn("__gap", F.coalesce(self.gaps(seconds), F.lit(False))))
-        return self.like(marked.take_while(~F.col("__gap")).df.drop("__gap"))
+        return self.like(self.with_gaps(seconds, "__gap").take_while(~F.col("__gap")).df.drop("__gap"))

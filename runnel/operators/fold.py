@@ -9,9 +9,13 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..ordinal import SCANS
 from ._stream import by_group, key_schema
 from .windows import listed
 
+#: Items of a stretch that is folded in one row.
+FOLD_CHUNK = 4096
+
 
 @dataclass
 class Gatherer:
@@ -25,12 +29,27 @@ class Gatherer:
 
 class Folds:
     def scan_native(self, name: str, aggregate: Column):
-        """A running aggregate such as F.sum(x): for associative scans."""
+        """A running aggregate such as F.sum(x) in each group: for associative scans. Without keys it is one window and so one task; scan_with is not."""
         return self.like(self.df.withColumn(name, aggregate.over(self.running())))
 
-    def scan_seeded(self, value: str, seed, aggregate: Callable[[str], Column], name: str = "scan") -> DataFrame:
-        """The seed first, then the running aggregate over seed and items: keys, pos (from 0), scan. Groups without items have no seed row; a flow without keys has."""
+    def scan_with(self, value: str | Column, how: str, name: str = "scan"):
+        """A running sum, count, min, max or last non-null value, also over a whole flow without keys."""
+        return self.like(self.running_all(**{name: (how, F.col(value) if isinstance(value, str) else value)}))
+
+    def scan_seeded(self, value: str, seed, aggregate: Callable[[str], Column] | str, name: str = "scan") -> DataFrame:
+        """The seed first, then the running aggregate over seed and items: keys, pos (from 0), scan. Groups without items have no seed row; a flow without keys has.
+
+        aggregate is a function of a column, or sum, min or max by name; by name a flow without keys is scanned range by range.
+        """
         kind = self.df.schema[value].dataType
+        if isinstance(aggregate, str):
+            how = aggregate
+            at = self.like(self.with_pos("__pos")).running_all(__scan=(how, F.col(value)))
+            found = SCANS[how][2](F.lit(seed).cast(at.schema["__scan"].dataType), F.col("__scan"))
+            rows = at.select(*self.by, F.col("__pos").alias("pos"), found.alias(name))
+            zero = [F.lit(0).cast("long").alias("pos"), F.lit(seed).cast(rows.schema[name].dataType).alias(name)]
+            seeds = self.df.select(*self.by).distinct().select(*self.by, *zero) if self.by else self.df.sparkSession.range(1).select(*zero)
+            return rows.unionByName(seeds)
         rows = self.with_pos("pos").select(*self.by, "pos", F.col(value).alias(name))
         first = F.lit(seed).cast(kind).alias(name)
         zero = F.lit(0).cast("long").alias("pos")
@@ -60,8 +79,18 @@ class Folds:
 
         return by_group(self, start, step, f"{key_schema(self)}pos long, {name} {kind}", value, finish)
 
-    def fold(self, value: str, seed: Column, merge: Callable[[Column, Column], Column], name: str = "fold") -> DataFrame:
-        """One result a group, from the ordered items, as an expression."""
+    def fold(self, value: str, seed: Column, merge: Callable[[Column, Column], Column], name: str = "fold", combine: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+        """One result a group, from the ordered items, as an expression.
+
+        Without `combine` a group's items have to fit in one row. combine(state, state) of two neighbouring stretches lets stretches of
+        FOLD_CHUNK items be folded first, each from the seed, and their states after that.
+        """
+        if combine is not None:
+            at = self.with_pos("__pos").withColumn("__chunk", F.floor((F.col("__pos") - 1) / FOLD_CHUNK))
+            parts = at.groupBy(*self.by, "__chunk").agg(listed(F.col(value), ["__pos"]).alias("__items")).select(*self.by, "__chunk", F.aggregate("__items", seed, merge).alias("__state"))
+            states = listed(F.col("__state"), ["__chunk"]).alias("__states")
+            every = parts.groupBy(*self.by).agg(states) if self.by else parts.agg(states)
+            return every.select(*self.by, F.coalesce(F.reduce(F.slice("__states", 2, F.greatest(F.size("__states"), F.lit(1))), F.get("__states", F.lit(0)), combine), seed).alias(name))
         items = listed(F.col(value), self.order).alias("__items")
         lists = self.df.groupBy(*self.by).agg(items) if self.by else self.df.agg(items)
         return lists.select(*self.by, F.aggregate("__items", seed, merge).alias(name))

@@ -96,11 +96,5 @@ class Selections:
         """Items unlike the one before."""
         cols = [F.col(k) if isinstance(k, str) else k for k in keys]
         item = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cols)])
-        if self.by:
-            df = self.df.withColumn("__item", item).withColumn("__before", F.lag("__item").over(self.window()))
-        else:
-            # across ranges: the item at the position before
-            at = self.with_pos("__pos").withColumn("__item", item)
-            before = at.select((F.col("__pos") + 1).alias("__pos"), F.col("__item").alias("__before"))
-            df = at.join(before, "__pos", "left").drop("__pos")
+        df = self.like(self.df.withColumn("__item", item)).running_all(exclusive=True, __before=("last", F.col("__item")))
         return self.like(df.where(F.col("__before").isNull() | ~F.col("__item").eqNullSafe(F.col("__before"))).drop("__item", "__before"))

@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ._stream import groups, in_groups
+
+#: Positions in a block of a sliding window without keys.
+SLIDING_BLOCK = 1 << 16
+
+
+def alike(left: list[str], right: list[str]) -> Column:
+    """Whether keys are equal, nulls to nulls."""
+    out = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        out = out & F.col(a).eqNullSafe(F.col(b))
+    return out
+
 
 def listed(value: Column, order: list[str]) -> Column:
     """The values in order, as an aggregate."""
@@ -33,66 +47,78 @@ class Windows:
 
     def sliding(self, value: str | Column, size: int) -> DataFrame:
         """All full windows with step 1, then one list of the last size-1 items; one list of all if there are fewer."""
+        if size < 1:
+            raise ValueError("size must be positive")
         col = F.col(value) if isinstance(value, str) else value
-        rows = self.window_rows(size, 1)
-        found = rows.groupBy(*self.by, "window_id").agg(listed(col, self.order).alias("items"))
-        tail = 1 if size > 1 else 0
+        rows = self.with_pos("__pos").select(*self.by, "__pos", F.struct(col.alias("v")).alias("__v"))
+        parts, own = self.by, F.lit(True)
+        if not self.by:
+            # blocks of positions; the first rows of each are copied to the block before, whose last windows reach into them
+            block = max(size, SLIDING_BLOCK)
+            at = F.floor((F.col("__pos") - 1) / block)
+            reaches = (at > 0) & ((F.col("__pos") - 1) % block < size - 1)
+            rows = rows.withColumn("__block", F.explode(F.when(reaches, F.array(at, at - 1)).otherwise(F.array(at))))
+            parts, own = ["__block"], F.floor((F.col("__pos") - 1) / block) == F.col("__block")
+        ahead = Window.partitionBy(*parts).orderBy("__pos").rowsBetween(0, size - 1)
+        found = rows.withColumn("__items", F.collect_list("__v").over(ahead)).where(own)
         # the last full window is followed by one partial one; in a short group the first window holds all
-        counts = found.where(F.size("items") == size).groupBy(*self.by).agg(F.max("window_id").alias("__full")) if self.by else found.where(F.size("items") == size).agg(F.max("window_id").alias("__full"))
-        both = found.join(counts, self.by, "left") if self.by else found.crossJoin(F.broadcast(counts))
-        return both.where(F.col("window_id") <= F.coalesce(F.col("__full"), F.lit(-1)) + tail).drop("__full")
+        kept = found.where((F.size("__items") >= size - 1) | (F.col("__pos") == 1))
+        return kept.select(*self.by, (F.col("__pos") - 1).alias("window_id"), F.transform("__items", lambda i: i["v"]).alias("items"))
 
     def time_windows(self, every: str, start: str | None = None, empty: bool = True) -> DataFrame:
         """Fixed-rate windows from the group's first time (or `start`): keys, window_start, n; empty ones are there with n = 0."""
         if not self.ts:
             raise ValueError("the flow has no time column")
         t = F.col(self.ts).cast("timestamp")
-        us = lambda c: F.unix_micros(c)
         step = F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {every}"))
-        t0 = us(F.lit(start).cast("timestamp")) if start else F.col("__t0")
-        bounds = self.df.groupBy(*self.by).agg(F.min(us(t)).alias("__t0"), F.max(us(t)).alias("__t1")) if self.by else self.df.agg(F.min(us(t)).alias("__t0"), F.max(us(t)).alias("__t1"))
-        base = self.df.join(bounds, self.by) if self.by else self.df.crossJoin(F.broadcast(bounds))
-        counted = base.withColumn("k", F.floor((us(t) - t0) / step).cast("long")).groupBy(*self.by, "k").agg(F.count("*").alias("n"))
-        if not empty:
-            every_k = counted.join(bounds, self.by) if self.by else counted.crossJoin(F.broadcast(bounds))
+        timed = self.df.select(*self.by, F.unix_micros(t).alias("__us")).where("__us IS NOT NULL")
+        if start:
+            first = F.unix_micros(F.lit(start).cast("timestamp"))
+            base = timed.where(F.col("__us") >= first).withColumn("__t0", first)
+        elif self.by:
+            bounds = timed.groupBy(*self.by).agg(F.min("__us").alias("__t0")).select(*[F.col(k).alias(f"__b{i}") for i, k in enumerate(self.by)], "__t0")
+            base = timed.join(bounds, alike(self.by, [f"__b{i}" for i in range(len(self.by))]))
         else:
-            ks = bounds.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__t1") - t0) / step).cast("long"))))
-            every_k = ks.join(counted, [*self.by, "k"], "left")
-        return every_k.select(*self.by, F.timestamp_micros(t0 + F.col("k") * step).alias("window_start"), F.coalesce("n", F.lit(0)).alias("n"))
+            base = timed.crossJoin(F.broadcast(timed.agg(F.min("__us").alias("__t0"))))
+        counted = base.groupBy(*self.by, "__t0", F.floor((F.col("__us") - F.col("__t0")) / step).cast("long").alias("__k")).agg(F.count("*").alias("__n"))
+        if empty:
+            # a window brings the empty ones before it: of the group's windows, not of its items
+            before = F.coalesce(F.lag("__k").over(Window.partitionBy(*self.by).orderBy("__k")), F.lit(-1).cast("long"))
+            filled = counted.withColumn("__at", before).withColumn("__at", F.explode(F.sequence(F.col("__at") + 1, F.col("__k"))))
+            counted = filled.withColumn("__n", F.when(F.col("__at") == F.col("__k"), F.col("__n")).otherwise(F.lit(0).cast("long"))).withColumn("__k", F.col("__at"))
+        return counted.select(*self.by, F.timestamp_micros(F.col("__t0") + F.col("__k") * step).alias("window_start"), F.col("__n").alias("n"))
 
     def buffer_for(self, seconds: float, size: int | None = None, name: str = "buffer_id") -> DataFrame:
         """Buffers that start at the first item after a flush and hold items for less than `seconds`, and at most `size` items: the items with their buffer's id.
 
-        State is one anchor a group, kept while a group's sorted rows stream through; a group's buffers are inherently sequential.
+        State is one anchor a group, kept while a group's sorted rows stream through; a group's buffers are inherently sequential. An
+        item without a time joins the open buffer; the buffer that it opens lasts from its first item with a time.
         """
         if not self.ts:
             raise ValueError("the flow has no time column")
         if size is not None and size < 1:
             raise ValueError("size must be positive")
-        ts, order, by = self.ts, self.order, self.by
-        limit = size or (1 << 62)
-
-        def run(frames):
-            import numpy as np
-            import pandas as pd
-
-            key, anchor, held, k = None, None, 0, -1
-            for f in frames:
-                ids = np.empty(len(f), np.int64)
-                times = pd.to_datetime(f[ts]).astype("datetime64[us]").astype("int64").to_numpy() / 1e6
-                keys = list(f[by].itertuples(index=False, name=None)) if by else [()] * len(f)
-                for i in range(len(f)):
-                    if keys[i] != key:
-                        key, anchor, held, k = keys[i], None, 0, -1
-                    if anchor is None or times[i] >= anchor + seconds or held >= limit:
-                        anchor, held, k = times[i], 0, k + 1
+        limit, long = size or (1 << 62), round(seconds * 1_000_000)
+        names, by = [c for c in self.df.columns if c != name], self.by
+        sorted_ = in_groups(self, self.df).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(by)], F.unix_micros(F.col(self.ts).cast("timestamp")).alias("__us"), *names)
+
+        def run(batches):
+            anchor, held, k = None, 0, -1
+            for begins, piece in groups(batches, len(by)):
+                if begins:
+                    anchor, held, k = None, 0, -1
+                ids = []
+                for t in piece.column(len(by)).to_pylist():
+                    if k < 0 or held >= limit or t is not None and anchor is not None and t >= anchor + long:
+                        anchor, held, k = t, 0, k + 1
+                    elif anchor is None:
+                        anchor = t
                     held += 1
-                    ids[i] = k
-                yield f.assign(**{name: ids})
+                    ids.append(k)
+                yield pa.RecordBatch.from_arrays([*piece.columns[len(by) + 1 :], pa.array(ids, pa.int64())], names=[*names, name])
 
-        dealt = self.df.repartition(*[F.col(k) for k in by]) if by else self.df.coalesce(1)
-        schema = StructType([*self.df.schema.fields, StructField(name, LongType())])
-        return dealt.sortWithinPartitions(*by, *[F.asc_nulls_first(c) for c in order]).mapInPandas(run, schema)
+        kept = self.df.select(*names).schema.fields
+        return sorted_.mapInArrow(run, StructType([*kept, StructField(name, LongType())]))
 
     def keep_last_per(self, every: str) -> DataFrame:
         """Overflow by keeping the latest: the last item of each time window."""
@@ -103,8 +129,6 @@ class Windows:
         return self._per_window(every, self.asc(), n)
 
     def _per_window(self, every: str, order: list[Column], n: int):
-        from pyspark.sql import Window
-
         w = Window.partitionBy(*self.by, "__w").orderBy(*order)
         df = self.df.withColumn("__w", F.window(F.col(self.ts).cast("timestamp"), every)["start"]).withColumn("__n", F.row_number().over(w))
         return self.like(df.where(F.col("__n") <= n).drop("__w", "__n"))
