@@ -44,6 +44,16 @@ class Combinations:
         filled = self.like(every, order=[on, "source", "__pos"]).running_all(**{n: ("last", F.col(n)) for n in names})
         return filled.where(reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])).drop("__pos")
 
+    def collect_failures(self, *others, error: str, combine: str = "concat", **how):
+        """Combines what each flow has before its first failed item, whose `error` column holds a message, and tells all failures afterwards.
+
+        Returns the combination (concat, zip, latest or merge) and the failures: keys, source, error. fail_with_all() makes one failure of them.
+        """
+        flows = [self, *others]
+        kept = [f.take_while(F.col(error).isNull()) for f in flows]
+        keyed = [f.failures(error).select(*[F.col(k).alias(t) for k, t in zip(f.by, self.by, strict=True)], F.lit(i).alias("source"), "error") for i, f in enumerate(flows)]
+        return getattr(kept[0], combine)(*kept[1:], **how), reduce(lambda a, b: a.unionByName(b), keyed)
+
     def merge(self, *others):
         """All items; order as the flows' own."""
         return self.like(reduce(lambda a, b: a.unionByName(b), [self.df, *[o.df for o in others]]))
@@ -56,3 +66,12 @@ class Combinations:
         return self.like(reduce(lambda a, b: a.unionByName(b), frames), order=[source, *self.order])
 
 
+
+
+def fail_with_all(combined: DataFrame, failures: DataFrame) -> DataFrame:
+    """The combination, whose action fails at its end if there are failures: by the one, or by all together."""
+    first, kinds = combined.columns[0], combined.schema
+    errors = failures.agg(F.transform(F.array_sort(F.collect_list(F.struct("source", "error"))), lambda e: e["error"]).alias("__e")).where(F.size("__e") > 0)
+    message = F.when(F.size("__e") == 1, F.col("__e")[0]).otherwise(F.concat(F.lit("multiple failures: "), F.array_join("__e", "; ")))
+    failing = errors.select(*[(F.raise_error(message) if c == first else F.lit(None)).cast(kinds[c].dataType).alias(c) for c in combined.columns])
+    return combined.unionByName(failing)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .windows import alike
@@ -51,6 +51,17 @@ class Failures:
         kept = self.recover_with_completion(failed)
         return self.like(kept.df.unionByName(first.select(*self.df.columns)))
 
+    def transform_failure(self, failed: Column, message: Column):
+        """A failed item fails the action with this message instead."""
+        first = self.df.columns[0]
+        return self.like(self.df.withColumn(first, F.when(F.coalesce(failed, F.lit(False)), F.raise_error(message).cast(self.df.schema[first].dataType)).otherwise(F.col(first))))
+
+    def failures(self, error: str) -> DataFrame:
+        """The first failed item of each group, where `error` holds a message: keys, error."""
+        bad = self.df.where(F.col(error).isNotNull())
+        first = F.min_by(error, F.struct(*self.order)).alias("error")
+        return bad.groupBy(*self.by).agg(first) if self.by else bad.agg(first).where("error IS NOT NULL")
+
     def with_gaps(self, seconds: float, name: str = "gap"):
         """The items with whether none came for longer than so many seconds before this one. Items without a time have and make no gap."""
         t = F.unix_micros(F.col(self.ts).cast("timestamp"))

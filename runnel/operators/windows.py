@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ._stream import groups, in_groups
+from ..errors import Overflow
+from ._stream import by_group, groups, in_groups, key_schema
 
 #: Positions in a block of a sliding window without keys.
 SLIDING_BLOCK = 1 << 16
@@ -120,6 +123,47 @@ class Windows:
         kept = self.df.select(*names).schema.fields
         return sorted_.mapInArrow(run, StructType([*kept, StructField(name, LongType())]))
 
+    def overflow(self, value: str, seconds: float, n: int, capacity: int, strategy: str = "buffer") -> DataFrame:
+        """A consumer that takes n items every so many seconds, behind a queue of `capacity`: keys, pos, the tick at which the item is taken, value.
+
+        Ticks count from the group's first time; an item without a time comes right after the one before. An item that comes at a tick is queued after the consumer has taken from the queue. An item
+        that finds the queue full fails the flow (buffer), is lost (drop), or takes the place of the oldest queued one (latest). What is queued at
+        the end is taken by the ticks that follow. State is a queue a group, while its sorted rows stream through.
+        """
+        if n < 1 or capacity < 1 or seconds <= 0 or strategy not in ("buffer", "drop", "latest"):
+            raise ValueError(f"{n}, {capacity}, {seconds}, {strategy}")
+        every = round(seconds * 1_000_000)
+
+        def take(state, upto):
+            """What the consumer takes at its ticks before `upto` (None: until the queue is empty)."""
+            out = []
+            while state["queue"] and (upto is None or state["tick"] < upto):
+                state["tick"] += 1
+                for _ in range(min(n, len(state["queue"]))):
+                    pos, v = state["queue"].popleft()
+                    out.append((pos, state["tick"], v))
+            state["tick"] = state["tick"] if upto is None else max(state["tick"], upto)
+            return out
+
+        def step(state, item):
+            if item["us"] is not None and state["first"] is None:
+                state["first"] = item["us"]
+            out = [] if item["us"] is None else take(state, (item["us"] - state["first"]) // every)
+            state["pos"] += 1
+            if len(state["queue"]) == capacity:
+                if strategy == "buffer":
+                    raise Overflow(f"more than {capacity} items wait")
+                if strategy == "drop":
+                    return state, out
+                state["queue"].popleft()
+            state["queue"].append((state["pos"], item["v"]))
+            return state, out
+
+        kind = self.df.schema[value].dataType.simpleString()
+        timed = self.like(self.df.withColumn("__item", F.struct(F.unix_micros(F.col(self.ts).cast("timestamp")).alias("us"), F.col(value).alias("v"))))
+        start = lambda: {"first": None, "tick": 0, "pos": 0, "queue": deque()}
+        return by_group(timed, start, step, f"{key_schema(self)}pos long, tick long, `{value}` {kind}", "__item", lambda state: take(state, None))
+
     def keep_last_per(self, every: str) -> DataFrame:
         """Overflow by keeping the latest: the last item of each time window."""
         return self._per_window(every, self.desc(), 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..flow import Flow
@@ -10,40 +10,12 @@ from ..operators.fold import Gatherer
 from ..operators.stats import exact
 from ..sources import create
 from ..streaming import flows as streaming
+from .register import ANCHORED, GPOS, ORACLES, POS, QUERIES, RUN, W, query  # noqa: F401
+from .register import events as _events
+from .register import orders as _orders
+from .register import text as _text
 from .stages import compile_stages
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return register
-
-
-def _events(spark: SparkSession, sf_dir: str, by=("user_id",)) -> Flow:
-    return create.table(spark, f"{sf_dir}/events.parquet", ["ts", "event_id"], by, "ts")
-
-
-def _orders(spark: SparkSession, sf_dir: str, by=("o_custkey",)) -> Flow:
-    return create.table(spark, f"{sf_dir}/orders.parquet", ["o_orderdate", "o_orderkey"], by, "o_orderdate")
-
-
-def _text(items):
-    """An array as one string: both engines print it alike."""
-    return F.array_join(F.transform(items, lambda x: x.cast("string")), ",")
-
-
-W = "(PARTITION BY user_id ORDER BY ts, event_id)"
-RUN = "(PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"
-POS = f"SELECT *, row_number() OVER {W} AS pos FROM events"
-GPOS = "SELECT *, row_number() OVER (ORDER BY ts, event_id) AS pos FROM events"
-
 
 @query(f"""
 WITH d AS (SELECT *, lag(event_type) OVER {W} AS before FROM events),
@@ -261,12 +233,12 @@ def window_time_fixed_with_empty(spark, sf_dir):
     return _events(spark, sf_dir).time_windows("1 day").select("user_id", F.unix_micros("window_start").alias("start_us"), "n")
 
 
-@query()
+@query(ANCHORED.format(key="user_id", name="user_id", limit=1 << 40))
 def buffer_time_anchored(spark, sf_dir):
     return _events(spark, sf_dir).buffer_for(86400.0).groupBy("user_id", "buffer_id").agg(F.count("*").alias("n"), F.min("event_id").alias("least"))
 
 
-@query()
+@query(ANCHORED.format(key="user_id", name="user_id", limit=3))
 def buffer_size_or_delay(spark, sf_dir):
     return _events(spark, sf_dir).buffer_for(86400.0, 3).groupBy("user_id", "buffer_id").agg(F.count("*").alias("n"), F.min("event_id").alias("least"))
 
@@ -320,7 +292,7 @@ def running_avg(spark, sf_dir):
 
 @query("SELECT event_id, count(*) OVER w AS count, (sum(value::DECIMAL(18,2)) OVER w)::DOUBLE AS sum FROM events WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def running_totals_global(spark, sf_dir):
-    return _events(spark, sf_dir, ()).running_totals("value").df.select("event_id", "count", F.col("sum").cast("double").alias("sum"))
+    return _events(spark, sf_dir, ()).running_totals("value", digits=2).df.select("event_id", "count", F.col("sum").cast("double").alias("sum"))
 
 
 @query(f"SELECT user_id, pos, quantile_cont(value, 0.5) OVER {RUN} AS median FROM ({POS})")
@@ -347,13 +319,30 @@ def running_top3(spark, sf_dir):
     return flow.running_top("cents", 3, "long").withColumn("top", _text("top"))
 
 
-@query(f"""
-WITH c AS (SELECT *, (value::DECIMAL(18,2) * 100)::BIGINT AS u FROM events),
-s AS (SELECT user_id, event_id, count(value) OVER w AS n, (sum(u) OVER w)::BIGINT AS s1, (sum(u * u) OVER w)::BIGINT AS s2, min(value) OVER w AS min, max(value) OVER w AS max FROM c WINDOW w AS {RUN})
-SELECT user_id, event_id, n AS count, s1::DOUBLE / n / 100.0::DOUBLE AS average, CASE WHEN n > 1 THEN (n * s2 - s1 * s1)::DOUBLE / (n * (n - 1))::DOUBLE / 10000.0::DOUBLE ELSE 'nan'::DOUBLE END AS variance,
-  CASE WHEN n > 1 THEN sqrt((n * s2 - s1 * s1)::DOUBLE / (n * (n - 1))::DOUBLE / 10000.0::DOUBLE) ELSE 'nan'::DOUBLE END AS stddev, min, max FROM s""")
+#: Moments from exact sums of powers of cents, over the window {w}.
+MOMENTS = """
+WITH c AS (SELECT *, (value::DECIMAL(18,2) * 100)::BIGINT::HUGEINT AS u FROM events),
+s AS (SELECT user_id, event_id, count(value) OVER w AS n, (sum(u) OVER w)::HUGEINT AS s1, (sum(u * u) OVER w)::HUGEINT AS s2, (sum(u * u * u) OVER w)::HUGEINT AS s3, (sum(u * u * u * u) OVER w)::HUGEINT AS s4,
+  min(value) OVER w AS min, max(value) OVER w AS max FROM c WINDOW w AS {w}),
+m AS (SELECT *, (n * s2 - s1 * s1)::DOUBLE AS d2, (n * n * s3 - 3 * n * s1 * s2 + 2 * s1 * s1 * s1)::DOUBLE AS d3, (n * n * n * s4 - 4 * n * n * s1 * s3 + 6 * n * s1 * s1 * s2 - 3 * s1 * s1 * s1 * s1)::DOUBLE AS d4 FROM s)
+SELECT user_id, event_id, n AS count, s1::DOUBLE / n / 100.0::DOUBLE AS average, CASE WHEN n > 1 THEN d2 / (n * (n - 1))::DOUBLE / 10000.0::DOUBLE ELSE 'nan'::DOUBLE END AS variance,
+  CASE WHEN n > 1 THEN sqrt(d2 / (n * (n - 1))::DOUBLE / 10000.0::DOUBLE) ELSE 'nan'::DOUBLE END AS stddev,
+  CASE WHEN d2 > 0 THEN round(d3 / d2 ** 1.5, 5) + 0.0 ELSE 'nan'::DOUBLE END AS skewness, CASE WHEN d2 > 0 THEN round(d4 / (d2 * d2) - 3, 5) + 0.0 ELSE 'nan'::DOUBLE END AS kurtosis, min, max FROM m"""
+
+
+def _all_moments(flow: Flow) -> DataFrame:
+    at = flow.running_statistics("value", digits=2).df
+    return at.select("user_id", "event_id", "count", "average", "variance", "stddev", *[(F.round(c, 5) + 0.0).alias(c) for c in ("skewness", "kurtosis")], "min", "max")
+
+
+@query(MOMENTS.format(w=RUN))
 def running_statistics(spark, sf_dir):
-    return _events(spark, sf_dir).running_statistics("value", digits=2).df.select("user_id", "event_id", "count", "average", "variance", "stddev", "min", "max")
+    return _all_moments(_events(spark, sf_dir))
+
+
+@query(MOMENTS.format(w="(ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"))
+def running_statistics_global(spark, sf_dir):
+    return _all_moments(_events(spark, sf_dir, ()))
 
 
 @query("""
@@ -613,16 +602,4 @@ def stream_filter(spark, sf_dir):
     return _finished(spark, df, "stream-filter")
 
 
-@query("SELECT (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM customer) AS customers, (SELECT max(c_acctbal) FROM customer) AS best")
-def uni_combine_all(spark, sf_dir):
-    """Three single results, run side by side, as one row."""
-    from ..policies import Uni, join_all
-
-    orders, customers = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
-    row = join_all([Uni(orders.count), Uni(customers.count), Uni.first_of(customers.agg(F.max("c_acctbal"))).map(lambda r: r[0])]).wait()
-    return spark.createDataFrame([tuple(row)], "orders long, customers long, best double")
-
-
-@query("SELECT event_id, coalesce(nullif(value, 0), -1.0) AS value FROM events")
-def uni_if_null(spark, sf_dir):
-    return _events(spark, sf_dir).map(on_null="keep", value=F.coalesce(F.nullif("value", F.lit(0.0)), F.lit(-1.0))).df.select("event_id", "value")
+from . import edges, results  # noqa: E402, F401  they register their queries

@@ -14,19 +14,19 @@ from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from typing import Any
 
 from pyspark import InheritableThread
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .errors import CompositeFlowError, FlowTimeout, NoSuchItem
 
 
 def backoff_delays(first: float, longest: float = float("inf"), jitter: float = 0.5, seed: int | None = None):
-    """Seconds to wait before each retry: the first doubled each time, up to the longest, spread by the jitter share."""
+    """Seconds to wait before each retry: the first doubled each time, spread by the jitter share, never less than the first nor more than the longest."""
     if not 0 <= jitter <= 1:
         raise ValueError("jitter is a share")
     rng, i = random.Random(seed), 0
     while True:
         base = min(longest, first * 2.0 ** min(i, 1000))
-        yield max(0.0, min(longest, base + base * jitter * rng.uniform(-1, 1)))
+        yield min(longest, max(first, base + base * jitter * rng.uniform(-1, 1)))
         i += 1
 
 
@@ -100,8 +100,41 @@ class Uni:
         return cls(df.first)
 
     @classmethod
-    def defer(cls, supplier: Callable[[], Uni]) -> Uni:
-        return cls(lambda: supplier().thunk())
+    def defer(cls, supplier: Callable[..., Uni], context: dict | None = None) -> Uni:
+        """supplier() is asked at each await; with a context, supplier(context)."""
+        return cls(lambda: (supplier() if context is None else supplier(context)).thunk())
+
+    @classmethod
+    def nothing(cls) -> Uni:
+        """Never ends; to be awaited with a time limit."""
+        return cls(lambda: threading.Event().wait())
+
+    @classmethod
+    def emitter(cls, emit: Callable[[Callable, Callable], None]) -> Uni:
+        """emit(complete, fail) calls one of its two arguments, from any thread; the first call counts."""
+
+        def run():
+            box: Future = Future()
+
+            def settle(how: Callable, x):
+                if not box.done():
+                    how(x)
+
+            emit(lambda x=None: settle(box.set_result, x), lambda e: settle(box.set_exception, e))
+            return box.result()
+
+        return cls(run)
+
+    @classmethod
+    def from_any(cls, source: Any) -> Uni:
+        """A Uni, a future, a flow's or DataFrame's first row, or the first of any iterable; None if there is none."""
+        if isinstance(source, Uni):
+            return source
+        if hasattr(source, "result"):
+            return cls(source.result)
+        if hasattr(source, "to_uni"):
+            return source.to_uni()
+        return cls.first_of(source) if isinstance(source, DataFrame) else cls(lambda: next(iter(source), None))
 
     # -- items
 
@@ -135,6 +168,57 @@ class Uni:
     def delay(self, seconds: float) -> Uni:
         return self.invoke(lambda _: time.sleep(seconds))
 
+    def delay_until(self, fn: Callable[[Any], Uni]) -> Uni:
+        """The item, once fn of it has given a result."""
+        return self.invoke(lambda x: fn(x).thunk())
+
+    # -- its item ignored
+
+    def and_fail(self, error: BaseException | Callable[[], BaseException]) -> Uni:
+        return self.and_switch_to(Uni.failure(error))
+
+    def and_switch_to(self, other: Uni | Callable[[], Uni]) -> Uni:
+        return self.flat_map(lambda _: other if isinstance(other, Uni) else other())
+
+    def and_continue_with(self, value: Any = None) -> Uni:
+        return self.map(lambda _: value() if callable(value) else value)
+
+    # -- hooks
+
+    def hooked(self, **hooks: Callable) -> Uni:
+        """With on_start, on_termination(failure or None) and on_cancel."""
+        return Uni(lambda: hooked(self.thunk, **hooks))
+
+    def eventually(self, fn: Callable[[], Any]) -> Uni:
+        """fn() after the item or failure, which passes on."""
+
+        def run():
+            try:
+                return self.thunk()
+            finally:
+                fn()
+
+        return Uni(run)
+
+    def pipe(self, fn: Callable[[Uni], Any], *args, **kwargs):
+        return fn(self, *args, **kwargs)
+
+    # -- to many items
+
+    def to_multi(self, spark, kind: str):
+        """A flow of the item, or of none if it is null."""
+        return self.transform_to_multi(spark, lambda x: x, kind)
+
+    def transform_to_multi(self, spark, fn: Callable[[Any], Any], kind: str = "int", order: str | Sequence[str] = "pos"):
+        """The flow that fn makes of the item: a flow, a DataFrame in an order, an iterable, or a single value. Built and awaited at each use."""
+        from .sources import create
+
+        return create.Deferred(lambda: create.from_any(spark, fn(self.thunk()), order, kind))
+
+    def disjoint(self, spark, kind: str):
+        """A flow of the elements of the item."""
+        return self.transform_to_multi(spark, lambda x: x if x is None else list(x), kind)
+
     # -- failures
 
     def recover_with(self, value: Any = None, on: type[BaseException] | Callable = Exception) -> Uni:
@@ -222,15 +306,47 @@ class Uni:
         return pool.submit(self.thunk)
 
 
+class _Race:
+    """Unis that run side by side, each with a Spark job group of its own, so that those no longer needed can be stopped."""
+
+    def __init__(self, unis: Sequence[Uni], concurrency: int | None = None):
+        session = SparkSession.getActiveSession()
+        self._context = None if session is None else session.sparkContext
+        self._slots, self._over = threading.Semaphore(concurrency or len(unis)), threading.Event()
+        self._groups = {uuid.uuid4().hex: Future() for _ in unis}
+        self.futures = list(self._groups.values())
+        for u, (group, box) in zip(unis, self._groups.items(), strict=True):
+            InheritableThread(target=self._run, args=(u, group, box), daemon=True).start()
+
+    def _run(self, u: Uni, group: str, box: Future) -> None:
+        with self._slots:
+            if self._over.is_set():
+                box.cancel()
+                return
+            if self._context is not None:
+                self._context.setJobGroup(group, "race", interruptOnCancel=True)
+            try:
+                box.set_result(u.thunk())
+            except BaseException as e:  # noqa: BLE001
+                box.set_exception(e)
+
+    def stop(self) -> None:
+        """Those that wait do not start; Spark jobs of those that run are cancelled."""
+        self._over.set()
+        for group, box in self._groups.items():
+            if not box.done() and self._context is not None:
+                self._context.cancelJobGroup(group)
+
+
 def join_all(unis: Sequence[Uni], concurrency: int | None = None, collect_failures: bool = False) -> Uni:
-    """All results in order. Fails at the first failure, or with all failures at the end."""
+    """All results in order. Fails at the first failure, the others being stopped, or with all failures at the end."""
 
     def run():
         if not unis:
             return []
-        pool = ThreadPoolExecutor(concurrency or len(unis))
+        race = _Race(unis, concurrency)
+        futures = race.futures
         try:
-            futures = [pool.submit(u.thunk) for u in unis]
             if not collect_failures:
                 pending = set(futures)
                 while pending:
@@ -247,20 +363,20 @@ def join_all(unis: Sequence[Uni], concurrency: int | None = None, collect_failur
                 raise errors[0]
             return [f.result() for f in futures]
         finally:
-            pool.shutdown(wait=False, cancel_futures=True)
+            race.stop()
 
     return Uni(run)
 
 
 def join_first(unis: Sequence[Uni], with_item: bool = False) -> Uni:
-    """The first to end, item or failure; with_item: the first item, all failures together if there is none."""
+    """The first to end, item or failure; with_item: the first item, all failures together if there is none. The others are stopped."""
 
     def run():
         if not unis:
             raise NoSuchItem("nothing to join")
-        pool = ThreadPoolExecutor(len(unis))
+        race = _Race(unis)
         try:
-            pending, errors = {pool.submit(u.thunk) for u in unis}, []
+            pending, errors = set(race.futures), []
             while pending:
                 done, pending = wait(pending, return_when=FIRST_COMPLETED)
                 for f in done:
@@ -271,7 +387,7 @@ def join_first(unis: Sequence[Uni], with_item: bool = False) -> Uni:
                     errors.append(f.exception())
             raise CompositeFlowError(errors)
         finally:
-            pool.shutdown(wait=False, cancel_futures=True)
+            race.stop()
 
     return Uni(run)
 
@@ -324,10 +440,12 @@ def hooked(action: Callable[[], Any], on_start: Callable | None = None, on_termi
     return out
 
 
-def broadcast_to(df: DataFrame, *consumers: Callable[[DataFrame], Any]) -> list:
-    """One upstream run for several consumers: the data is kept while all of them run."""
+def broadcast_to(df: DataFrame, *consumers: Callable[[DataFrame], Any], together: bool = False) -> list:
+    """One upstream run for several consumers, one after another or together: the data is kept while all of them run."""
     kept = df.persist()
     try:
+        if together:
+            return join_all([Uni(lambda c=c: c(kept)) for c in consumers]).wait()
         return [c(kept) for c in consumers]
     finally:
         kept.unpersist()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..flow import Flow
+from ..policies import Uni
 
 
 def items(spark: SparkSession, values: Iterable, kind: str, name: str = "item") -> Flow:
@@ -36,9 +37,30 @@ def failure(spark: SparkSession, message: str, kind: str = "int") -> Flow:
     return Flow(spark.range(1).select(F.lit(1).cast("long").alias("pos"), F.raise_error(F.lit(message)).cast(kind).alias("item")), "pos")
 
 
-def deferred(build: Callable[[], Flow]) -> Callable[[], Flow]:
-    """A pipeline that is built anew whenever it is asked for."""
-    return build
+class Deferred:
+    """A pipeline that is built anew for whatever is done with it; it offers what the flow offers."""
+
+    def __init__(self, build: Callable[..., Flow], context: dict | None = None):
+        self._build, self._context = build, context
+
+    def flow(self) -> Flow:
+        return self._build() if self._context is None else self._build(self._context)
+
+    def __getattr__(self, name: str):
+        return getattr(self.flow(), name)
+
+    def __iter__(self):
+        return iter(self.flow())
+
+
+def deferred(build: Callable[[], Flow]) -> Deferred:
+    """build() is called at each use."""
+    return Deferred(build)
+
+
+def with_context(build: Callable[[dict], Flow], context: dict) -> Deferred:
+    """build(context) is called at each use; what it puts into the context is there the next time."""
+    return Deferred(build, context)
 
 
 def ticks(spark: SparkSession, start: str, end: str, every: str) -> Flow:
@@ -94,18 +116,26 @@ def repeat_whilst(pages: Flow, go_on) -> Flow:
 
 
 def replay(flow: Flow, last: int | None = None, seed: Flow | None = None) -> Flow:
-    """What a late subscriber gets: all items or the last ones, after the seed's. The data is kept for the next one."""
-    kept = flow.like(flow.df.persist())
-    kept = kept if last is None else kept.last(last)
-    return kept if seed is None else seed.concat(kept)
+    """What a late subscriber gets: all items or the last ones, after the seed's. The items are kept for the next one, until release()."""
+    kept = flow.cache()
+    out = kept if last is None else kept.last(last)
+    out = out if seed is None else seed.concat(out)
+    out.release = kept.release
+    return out
 
 
-def from_any(spark: SparkSession, source, order, kind: str = "int") -> Flow:
-    """A DataFrame, a flow, a future of either, or any iterable."""
+def from_any(spark: SparkSession, source, order="pos", kind: str = "int") -> Flow:
+    """A DataFrame, a flow, a deferred one, a Uni, a future of any of these, any iterable, or a single value; None is an empty flow."""
     if hasattr(source, "result"):
         source = source.result()
+    if isinstance(source, Uni):
+        source = source.wait()
+    if isinstance(source, Deferred):
+        source = source.flow()
     if isinstance(source, Flow):
         return source
+    if source is None or isinstance(source, str | bytes | dict) or not isinstance(source, Iterable | DataFrame):
+        return optional(spark, source, kind)
     if isinstance(source, DataFrame):
         return Flow(source, order)
     return items(spark, source, kind)

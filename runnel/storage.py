@@ -12,12 +12,19 @@ from pyspark.sql import SparkSession
 _OWN: list[str] = []
 
 
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset, as in tests, under a temporary folder."""
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset and the master is local, as in tests, a temporary folder; on a cluster it has to be set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="runnel-"))
-            atexit.register(shutil.rmtree, _OWN[0], True)
-        at = f"file://{_OWN[0]}"
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="runnel-"))
+        atexit.register(shutil.rmtree, _OWN[0], True)
+    return f"file://{_OWN[0]}"
+
+
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

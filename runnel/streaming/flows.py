@@ -6,12 +6,15 @@ flow (open buffers, last windows) is emitted when the watermark passes, or not a
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..errors import Overflow
+from ..ordinal import numbered
+
 
 def events(spark: SparkSession, folder: str, glob: str, schema, ts: str, late: str = "1 hour", files_per_trigger: int | None = None) -> DataFrame:
     """A stream over Parquet files with a watermark; files_per_trigger bounds what a trigger takes."""
@@ -131,19 +134,74 @@ def sink(df: DataFrame, path: str, checkpoint: str, every: str | None = None, mo
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def each_batch(df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None, capacity: int | None = None, mode: str = "append") -> StreamingQuery:
-    """Calls fn for each micro-batch (it has to be idempotent by batch id); more rows than `capacity` in one are an overflow."""
-    from ..errors import Overflow
+def each_batch(
+    df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None, capacity: int | None = None, mode: str = "append",
+    cap: int | None = None, order: Sequence[str] = (),
+) -> StreamingQuery:
+    """Calls fn for each micro-batch (it has to be idempotent by batch id); more rows than `capacity` in one are an overflow.
+
+    cap: fn is asked to take so many rows at a time at most, in the order of the columns `order`; all parts of a batch have its id. With a
+    capacity or a cap the batch is kept while it is counted and taken, so that its plan runs once.
+    """
+    if cap is not None and (cap < 1 or not order):
+        raise ValueError("a cap has to be positive, and to be taken in an order")
 
     def run(batch: DataFrame, number: int) -> None:
-        if capacity is not None and (n := batch.count()) > capacity:
-            raise Overflow(f"{n} items for {capacity}")
-        fn(batch, number)
+        if capacity is None and cap is None:
+            return fn(batch, number)
+        kept = batch.persist()
+        try:
+            n = kept.count()
+            if capacity is not None and n > capacity:
+                raise Overflow(f"{n} items for {capacity}")
+            if cap is None:
+                return fn(kept, number)
+            at = numbered(kept, order, "__pos")
+            for first in range(0, n, cap):
+                fn(at.where(F.col("__pos").between(first + 1, first + cap)).drop("__pos"), number)
+        finally:
+            kept.unpersist()
 
     writer = df.writeStream.foreachBatch(run).outputMode(mode).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+class Pausable:
+    """A stream that can be paused and resumed: its query stops, and starts again from its checkpoint.
+
+    What comes in the meantime waits in the source and is taken on resumption (buffer), or is passed over (drop).
+    """
+
+    def __init__(self, df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None, strategy: str = "buffer", paused: bool = False):
+        if strategy not in ("buffer", "drop"):
+            raise ValueError(strategy)
+        self._df, self._fn, self._at, self._every, self._strategy = df, fn, checkpoint, every, strategy
+        self.query: StreamingQuery | None = None
+        self._was_paused = False
+        if not paused:
+            self.resume()
+
+    @property
+    def paused(self) -> bool:
+        return self.query is None
+
+    def pause(self) -> None:
+        if self.query is not None:
+            self.query.stop()
+            self.query, self._was_paused = None, True
+
+    def resume(self) -> None:
+        if self.query is not None:
+            return
+        if self._strategy == "drop" and self._was_paused:
+            each_batch(self._df, lambda batch, number: None, self._at).awaitTermination()
+        self.query = each_batch(self._df, self._fn, self._at, self._every)
+
+    def wait(self, seconds: float | None = None) -> bool:
+        """Whether what is there has been taken, for a stream without a trigger of its own."""
+        return self.query is None or bool(self.query.awaitTermination(seconds) if seconds else self.query.awaitTermination() or True)
+
+
 def split(df: DataFrame, key: str, routes: dict[str, Callable[[DataFrame, int], None]], checkpoint: str) -> StreamingQuery:
     """One pass over a stream for several consumers by key."""
 

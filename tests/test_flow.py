@@ -236,3 +236,99 @@ def test_terminals_and_helpers(spark):
     assert [r.t.item1 for r in t.orderBy("pos").collect()] == [4, 2, 3]
     with pytest.raises(ValueError):
         scalars.tuple_of(F.col("item"))
+
+
+BIG = (1 << 53) + 1
+
+
+def test_null_and_long_keys_stay_whole(spark):
+    """Each operator that streams, joins or windows groups: one group is that of null, another has a key no double holds."""
+    rng = random.Random(5)
+    rows = [(k, p, rng.choice([None, rng.randint(0, 9)]), f"2024-01-01 00:00:{rng.randint(0, 59):02d}") for k in (None, BIG, BIG - 1, 3) for p in range(rng.randint(3, 12))]
+    df = spark.createDataFrame(rows, "k long, pos long, item int, t string").withColumn("ts", F.to_timestamp("t"))
+    f = Flow(df, "pos", "k", "ts")
+    keys = [None, BIG, BIG - 1, 3]
+    size = {k: sum(r[0] == k for r in rows) for k in keys}
+    of = lambda df, k, c, at="pos": [r[c] for r in df.where(F.col("k").eqNullSafe(F.lit(k).cast("long"))).orderBy(at).collect()]
+    medians, tops, scans = f.running_median("item"), f.running_top("item", 2, "int"), f.scan("pos", lambda a, b: a + b, "long")
+    buffers, slid, zipped = f.buffer_for(1e6, 4), f.sliding("pos", 3), f.zip(f)
+    windows_, seconds = f.time_windows("10 seconds"), {k: [r[3] for r in rows if r[0] == k] for k in keys}
+    for k in keys:
+        items = [r[2] for r in rows if r[0] == k and r[2] is not None]
+        assert of(medians, k, "median") == [sorted(items[: i + 1])[i // 2] if i % 2 == 0 else sum(sorted(items[: i + 1])[i // 2 : i // 2 + 2]) / 2 for i in range(len(items))]
+        assert of(tops, k, "top")[-1:] == ([sorted(set(items), reverse=True)[:2]] if items else [])
+        assert of(scans, k, "scan") == [sum(range(i + 1)) for i in range(size[k])]
+        assert of(buffers, k, "buffer_id") == [i // 4 for i in range(size[k])]
+        assert of(slid, k, "items", "window_id") == [list(range(i, i + 3)) for i in range(size[k] - 2)] + [list(range(size[k] - 2, size[k]))]
+        assert len(of(zipped, k, "pos")) == size[k]
+        assert sum(of(windows_, k, "n", "window_start")) == len(seconds[k])
+    assert f.time_windows("1 minute", start="2023-12-31 23:59:00").where("n = 0").count() == len(keys)
+    clash = Flow(df.withColumnRenamed("k", "__key"), "pos", "__key", "ts")
+    assert clash.time_windows("10 seconds").columns == ["__key", "window_start", "n"]
+
+
+def test_running_values_without_keys(spark):
+    rng = random.Random(8)
+    rows = [(rng.randint(0, 300), i, rng.choice([None, rng.randint(-50, 50) / 1000])) for i in range(1500)]
+    f = Flow(spark.createDataFrame(rows, "a long, b long, v double"), ["a", "b"])
+    vs = [v for _, _, v in sorted(rows, key=lambda r: r[:2])]
+    known = lambda i: [v for v in vs[: i + 1] if v is not None]
+    at = f.running_all(n=("count", F.col("v")), lo=("min", F.col("v")), hi=("max", F.col("v")), now=("last", F.col("v"))).orderBy("a", "b").collect()
+    for i in range(0, len(vs), 37):
+        seen = known(i)
+        assert (at[i].n, at[i].lo, at[i].hi, at[i].now) == (len(seen), min(seen, default=None), max(seen, default=None), seen[-1] if seen else None)
+    totals = f.running_totals("v").df.orderBy("a", "b").collect()
+    assert abs(totals[-1].sum - sum(known(len(vs)))) < 1e-9 and totals[-1]["count"] == len(vs)
+    keyed = Flow(f.df.withColumn("k", F.lit(1)), ["a", "b"], "k").running_statistics("v").df.orderBy("a", "b").collect()
+    for x, y in zip(f.running_statistics("v").df.orderBy("a", "b").collect(), keyed):
+        for c in ("count", "average", "variance", "stddev", "skewness", "kurtosis", "min", "max"):
+            assert x[c] == y[c] or x[c] != x[c] and y[c] != y[c] or abs(x[c] - y[c]) < 1e-6, c
+    plan = f.running_sum("v").df._jdf.queryExecution().executedPlan().toString()
+    assert "__range" in plan
+
+
+def test_queues_and_sub_flows(spark):
+    rows = [(i, f"2024-01-01 00:00:{s:02d}") for i, s in enumerate([0, 0, 0, 0, 10, 25])]
+    f = Flow(spark.createDataFrame(rows, "pos long, t string").withColumn("ts", F.to_timestamp("t")), "pos", (), "ts")
+    got = lambda **how: [(r.pos, r.tick) for r in f.overflow("t", 10, 1, **how).orderBy("tick", "pos").collect()]
+    assert got(capacity=9) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6)]
+    assert got(capacity=2, strategy="drop") == [(1, 1), (2, 2), (5, 3), (6, 4)]
+    assert got(capacity=2, strategy="latest") == [(3, 1), (4, 2), (5, 3), (6, 4)]
+    with pytest.raises(Exception, match="more than 2 items wait"):
+        got(capacity=2)
+    outer = spark.createDataFrame([(1, None), (2, 7), (3, 8)], "pos long, k long")
+    inner = spark.createDataFrame([(None, 1, "a"), (7, 1, "b"), (7, 2, "c"), (None, 2, "d")], "k long, at long, x string")
+    subs = lambda *how: [r.sub.x for r in Flow(outer, "pos").sub_flows(Flow(inner, "at"), ["k"], *how)]
+    assert subs() == ["a", "d", "b", "c"] and subs("merge", 2) == ["a", "b", "d", "c"]
+
+
+def test_splits_scan_once_and_deferred_flows(spark):
+    f = ints(spark, [1, 2, 3, 4])
+    parts = f.split(F.when(F.col("item") > 2, "big").otherwise("small"), ["big", "small"], keep=True)
+    assert values(parts["big"]) == [3, 4] and values(parts["small"]) == [1, 2]
+    parts.release()
+    built = []
+    later = create.deferred(lambda: built.append(1) or f)
+    assert not built and values(later.first(2)) == [1, 2] and values(later.flow()) == [1, 2, 3, 4] and len(built) == 2
+    ends = []
+    told = f.on_termination(lambda e, cancelled: ends.append((e is None, cancelled)))
+    list(told)
+    next(iter(told))
+    assert ends == [(True, False), (True, True)]
+
+
+def test_delays_are_never_shorter_than_the_first():
+    delays = backoff_delays(2, 30, jitter=1, seed=3)
+    assert all(2 <= next(delays) <= 30 for _ in range(200))
+
+
+def test_the_losers_of_a_race_are_stopped(spark):
+    import threading
+
+    slow = Uni(lambda: spark.range(1, 8, 1, 8).rdd.map(lambda x: time.sleep(60)).count())
+    began = time.monotonic()
+    assert join_first([slow, Uni(lambda: time.sleep(1) or 5)]).wait() == 5
+    until = time.monotonic() + 30
+    while spark.sparkContext.statusTracker().getActiveJobsIds() and time.monotonic() < until:
+        time.sleep(0.1)
+    assert time.monotonic() - began < 30 and threading.active_count() < 60
