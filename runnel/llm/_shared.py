@@ -2,37 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: list[str] = []
-
+from ..storage import fresh_dir
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="runnel-"))
-        atexit.register(shutil.rmtree, _OWN[0], True)
-    return f"file://{_OWN[0]}"
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     at = fresh_dir(df.sparkSession, name)
@@ -58,3 +38,11 @@ def partitions(spark: SparkSession) -> int:
 
 def text_of(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def fresh_name(name: str, taken: list[str]) -> str:
+    """A column name like `name` that is not taken."""
+    name = f"__{name}"
+    while name in taken:
+        name += "_"
+    return name

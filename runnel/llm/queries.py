@@ -50,6 +50,24 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
 
 
+#: Texts as hexadecimal digits in chunks of 500 bytes, each with the 49 bytes after it; each string's smallest document; runs of strings that are hit.
+OP3_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+parts AS (SELECT doc_id, unnest(regexp_extract_all(h, '.{1,1000}')) AS part, generate_subscripts(regexp_extract_all(h, '.{1,1000}'), 1) - 1 AS i FROM d WHERE h <> ''),
+chunks AS (SELECT doc_id, i, length(part) // 2 AS n, part || coalesce(substr(lead(part) OVER (PARTITION BY doc_id ORDER BY i), 1, 98), '') AS part FROM parts),
+strings AS (SELECT doc_id, i * 500 + k AS pos, substr(part, 2 * k + 1, 100) AS s FROM (SELECT *, unnest(range(0, least(n, length(part) // 2 - 49))) AS k FROM chunks WHERE length(part) >= 100)),
+firsts AS (SELECT s, min(doc_id) AS least FROM strings GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM strings JOIN firsts USING (s) WHERE doc_id > least),
+runs AS (SELECT doc_id, pos, sum(CASE WHEN before IS NULL OR pos > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM hits),
+spans AS (SELECT doc_id, run, min(pos) AS a, max(pos) + 50 AS b FROM runs GROUP BY 1, 2),
+kept AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since, row_number() OVER (PARTITION BY doc_id ORDER BY a DESC) = 1 AS last FROM spans),
+cut AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, (2 * since + 1)::BIGINT, (2 * (a - since))::BIGINT) || CASE WHEN last THEN substr(h, (2 * b + 1)::BIGINT) ELSE '' END, '' ORDER BY a) AS h
+  FROM kept JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(cut.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = fresh_dir(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), at)
@@ -159,4 +177,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_token_counts": op2_token_counts, "op3_suffix_dedup": op3_suffix_dedup, "op4_warc": op4_warc, "op5_fingerprints": op5_fingerprints, "op6_chat_format": op6_chat_format, "op7_sentencepiece": op7_sentencepiece, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination, "op10_language_id": op10_language_id}
-ORACLES = {"op2_token_counts": OP2_SQL, "op4_warc": OP4_SQL, "op6_chat_format": OP6_SQL, "op9_decontamination": OP9_SQL}
+ORACLES = {"op2_token_counts": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op6_chat_format": OP6_SQL, "op9_decontamination": OP9_SQL}

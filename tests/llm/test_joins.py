@@ -2,11 +2,13 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from runnel.llm import ngram_join, suffix_dedup
 from runnel.llm._graph import components
+from runnel.llm._order import multikey_quicksort
 from runnel.llm._sketches import members_apart
 
 from .helpers import awkward, classes, documents, removed_bytes, word_sets
@@ -63,7 +65,7 @@ def test_copies_are_answered_by_the_suffix_array(spark, monkeypatch):
     docs = documents(spark, ["a text of its own, long enough to be a passage of more than fifty bytes"] * 3 + ["short"] * 2)
     got = lambda: [(r.n_removed, r.n_spans) for r in suffix_dedup.repeats(docs).orderBy("doc_id").collect()]
     assert got() == [(0, 0), (71, 1), (71, 1), (0, 0), (0, 0)]
-    none = spark.createDataFrame([], "doc_id long, start int, finish int")
+    none = spark.createDataFrame([], "doc_id long, row long, start int, finish int")
     monkeypatch.setattr(suffix_dedup, "repeated_spans", lambda docs: none)
     assert got() == [(0, 0)] * 5
 
@@ -79,3 +81,64 @@ def test_members_apart(spark):
     maybe, never = members_apart(df, "id", spark.range(10, 20))
     ids = {r.id for r in maybe.collect()}
     assert set(range(10, 20)) <= ids and maybe.count() + never.count() == 1000
+
+
+def expected(rows):
+    """n_removed and kept bytes of each (id, text): rows of one id do not count for each other, null ids not at all."""
+    out = []
+    for i, t in rows:
+        earlier = set()
+        for j, u in rows:
+            if i is not None and j is not None and j < i:
+                b = (u or "").encode()
+                earlier |= {b[k : k + 50] for k in range(len(b) - 49)}
+        b = (t or "").encode()
+        mask = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if b[k : k + 50] in earlier:
+                mask[k : k + 50] = b"\x01" * 50
+        out.append((sum(mask), hashlib.sha256(bytes(x for x, y in zip(b, mask, strict=True) if not y)).hexdigest()))
+    return out
+
+
+def test_repeated_and_null_ids(spark):
+    say = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    rows = [(1, say("a", 40)), (2, say("x", 10) + say("a", 30)), (2, say("b", 40)), (2, say("b", 40)), (3, say("b", 20) + say("c", 20)), (None, say("c", 20)), (4, say("c", 20)), (None, None), (5, None), (5, say("a", 12))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("x")).withColumn("spans", F.lit(1)).withColumn("__id", F.lit(2))
+    got = sorted((r.doc_id or 0, r.n_removed, r.kept_sha256) for r in suffix_dedup.repeats(docs).collect())
+    assert got == sorted((i or 0, n, sha) for (i, _), (n, sha) in zip(rows, expected(rows), strict=True))
+    cut = suffix_dedup.without_repeats(docs)
+    assert cut.columns == docs.columns
+    assert sorted((r.doc_id or 0, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in cut.collect()) == sorted((i or 0, sha) for (i, _), (_, sha) in zip(rows, expected(rows), strict=True))
+
+
+def test_hot_beginnings_are_split(spark, monkeypatch):
+    """A passage that all documents share, in contexts of their own, with ranges so small that its beginnings fill several."""
+    say = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    hot = say("hot", 30)
+    texts = [f"{say(f'd{d % 20}', 4)} {hot} {say(f'e{d % 15}', 4)}" for d in range(120)]
+    docs = documents(spark, texts)
+    want = expected(list(enumerate(texts)))
+    answer = lambda: [(r.n_removed, r.kept_sha256) for r in suffix_dedup.repeats(docs).orderBy("doc_id").collect()]
+    assert answer() == want
+    monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", 300)
+    made = []
+    monkeypatch.setattr(suffix_dedup, "Ranges", lambda bounds, real=suffix_dedup.Ranges: made.append(real(bounds)) or made[-1])
+    assert answer() == want
+    assert len(made[0].hot)
+    monkeypatch.setattr(suffix_dedup, "LARGE", 3)
+    assert answer() == want
+
+
+def test_multikey_quicksort():
+    rng = np.random.default_rng(2)
+    columns = [rng.integers(0, 3, 50_000).astype(np.uint64), rng.integers(0, 40, 50_000), rng.integers(0, 1 << 60, 50_000)]
+    order = multikey_quicksort(*columns)
+    assert np.array_equal(order, np.lexsort(columns[::-1]))
+    assert len(multikey_quicksort(np.zeros(0))) == 0 and sorted(multikey_quicksort(np.zeros(20_000))) == list(range(20_000))
+
+
+def test_packed_ranges_come_back():
+    rng = np.random.default_rng(1)
+    cols = [rng.integers(-5, 5, 999), rng.integers(0, 2, 999) * 77, rng.integers(0, 9, 999).astype(np.uint64), *[rng.integers(0, 9, 999).astype(k) for k in suffix_dedup._COLUMNS[1:]]]
+    assert all(np.array_equal(a, b) for a, b in zip(cols, suffix_dedup._unpack(suffix_dedup._pack(*cols)), strict=True))
