@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import fresh_dir
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,6 +38,26 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _murmur3(x: np.ndarray) -> np.ndarray:
+    """Spark's hash of an int column, by which rows are dealt to partitions: Murmur3, x86, 32 bits, seed 42."""
+    turned = lambda v, by: (v << np.uint32(by)) | (v >> np.uint32(32 - by))
+    h = np.uint32(42) ^ (turned(x.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593))
+    h = turned(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(4)
+    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(by)
+    return (h ^ (h >> np.uint32(16))).view(np.int32)
+
+
+def apart(n: int) -> np.ndarray:
+    """n ints of which repartition(n, column) gives each a partition of its own."""
+    tried = np.arange(n * (n.bit_length() + 12), dtype=np.int32)
+    at, first = np.unique(_murmur3(tried).astype(np.int64) % n, return_index=True)
+    out = np.arange(n, dtype=np.int32)  # a partition that no try hits shares another's
+    out[at] = tried[first]
+    return out
+
+
 def text_of(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 

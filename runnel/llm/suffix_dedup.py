@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ._bytes import BYTE_HASH, Prefix, U, blocks, mix, text_buffer, tidy
 from ._order import heads, least_in_run, multikey_quicksort
-from ._shared import fresh_name, partitions, small_batches, written
+from ._shared import apart, fresh_name, partitions, small_batches, written
 from ._sketches import members_apart, only_members
 
 LENGTH = 50
@@ -45,10 +45,8 @@ KEYS = 8
 DOC_KEYS = 16
 #: Suffixes that a task holds before it sends them on.
 FLUSH = 300_000
-#: Over how many keys settled spans are dealt.
-SPREAD = 1 << 16
-#: Opened runs with the same leading bytes that are compared in one task; of more, the strings are dealt.
-LARGE = 1024
+#: Opened runs with the same leading bytes, of some 60 bytes each, that are compared in one task; of more, the strings are dealt.
+LARGE = 1 << 16
 OTHER_HASH = mix(BYTE_HASH ^ U(0xA0761D6478BD642F))
 
 
@@ -97,7 +95,7 @@ class Runs:
         self.t0, self.t1 = lead[at], rest[at]
         self.p0 = mix(prefix.ranges(first, last + LENGTH) + shape)
         self.p1 = mix(Prefix(data, OTHER_HASH).ranges(first, last + LENGTH) ^ (shape << U(40)))
-        side = lambda a, b, good: np.where(good, (prefix.ranges(np.where(good, a, 0), np.where(good, b, 0)) & U(127)).astype(np.int64) + 128, 0)
+        side = lambda a, b, good: np.where(good, (prefix.ranges(np.where(good, a, 0), np.where(good, b, 0)) & U(0xFFFF)).astype(np.int64) | 1, 0)
         self.left = side(at - SIDE, at, at - SIDE >= lo)
         self.right = side(at + K, at + K + SIDE, at + K + SIDE <= hi)
         self.doc, self.first, self.last, self.at = doc, first - lo, last - lo, at - first
@@ -154,7 +152,7 @@ def _planes(x: np.ndarray) -> bytes:
 
 
 #: The columns of a packed range after the document's: leading tokens, fingerprints, first string, shape of the run, side hashes.
-_COLUMNS = (np.uint64, np.uint32, np.uint64, np.uint64, np.uint32, np.uint16, np.uint16)
+_COLUMNS = (np.uint64, np.uint32, np.uint64, np.uint64, np.uint32, np.uint16, np.uint32)
 
 
 def _pack(ids: np.ndarray, rows: np.ndarray, *columns: np.ndarray) -> bytes:
@@ -186,7 +184,7 @@ def _unpack(body: bytes) -> tuple[np.ndarray, ...]:
     return (ids[local], rows[local], *[take(kind, n) for kind in _COLUMNS])
 
 
-_ASK = "bucket int, doc_id long, row long, start int, finish int, body binary"
+_ASK = "place int, bucket int, doc_id long, row long, start int, finish int, body binary"
 _OUT = "doc_id long, row long, key binary, many boolean, start int, finish int"
 
 
@@ -194,8 +192,8 @@ def _rows(**cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(cols)
 
 
-def _suffixes(docs: DataFrame, ranges: Ranges) -> DataFrame:
-    """Packed suffix records by range, and the spans that a task can settle by itself."""
+def _suffixes(docs: DataFrame, ranges: Ranges, places: np.ndarray) -> DataFrame:
+    """Packed suffix records by range, and the spans that a task can settle by itself; `place` is what they are to be partitioned by."""
 
     def flush(held):
         t0, t1, p0, p1, ids, rows, first, shape, sides = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -208,7 +206,7 @@ def _suffixes(docs: DataFrame, ranges: Ranges) -> DataFrame:
             finish = first + (shape & 63) + LENGTH
             k = int(settled.sum())
             # settled spans only pass through: dealt by document, not to the range of what may be a hot beginning
-            yield _rows(bucket=pa.array((-1 - ids[settled] % SPREAD).astype(np.int32)), doc_id=ids[settled], row=rows[settled], start=pa.array(first[settled].astype(np.int32)), finish=pa.array(finish[settled].astype(np.int32)), body=pa.nulls(k, pa.binary()))
+            yield _rows(place=pa.array(places[ids[settled] % len(places)]), bucket=pa.nulls(k, pa.int32()), doc_id=ids[settled], row=rows[settled], start=pa.array(first[settled].astype(np.int32)), finish=pa.array(finish[settled].astype(np.int32)), body=pa.nulls(k, pa.binary()))
         cols = [c[~settled] for c in cols]
         if not len(cols[0]):
             return
@@ -218,7 +216,8 @@ def _suffixes(docs: DataFrame, ranges: Ranges) -> DataFrame:
         cut = np.append(np.flatnonzero(heads(bucket)), len(bucket)).tolist()
         bodies = [_pack(*[c[a:b] for c in cols]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         n = len(bodies)
-        yield _rows(bucket=pa.array(bucket[cut[:-1]]), doc_id=pa.nulls(n, pa.int64()), row=pa.nulls(n, pa.int64()), start=pa.nulls(n, pa.int32()), finish=pa.nulls(n, pa.int32()), body=pa.array(bodies, pa.binary()))
+        names = bucket[cut[:-1]]
+        yield _rows(place=pa.array(places[names]), bucket=pa.array(names), doc_id=pa.nulls(n, pa.int64()), row=pa.nulls(n, pa.int64()), start=pa.nulls(n, pa.int32()), finish=pa.nulls(n, pa.int32()), body=pa.array(bodies, pa.binary()))
 
     def run(batches):
         held, n = [], 0
@@ -227,7 +226,7 @@ def _suffixes(docs: DataFrame, ranges: Ranges) -> DataFrame:
             if not len(r.t0):
                 continue
             ids, rows = (batch.column(i).to_numpy(zero_copy_only=False)[r.doc] for i in (0, 1))
-            held.append((r.t0, r.t1.astype(np.uint32), r.p0, r.p1, ids, rows, r.first.astype(np.uint32), (r.at * 64 + (r.last - r.first)).astype(np.uint16), (r.left * 256 + r.right).astype(np.uint16)))
+            held.append((r.t0, r.t1.astype(np.uint32), r.p0, r.p1, ids, rows, r.first.astype(np.uint32), (r.at * 64 + (r.last - r.first)).astype(np.uint16), (r.left * 65536 + r.right).astype(np.uint32)))
             n += len(ids)
             if n >= FLUSH:
                 yield from flush(held)
@@ -258,11 +257,11 @@ def _compare(hot: bool, bodies: list[bytes]):
         # a string that two runs share has SIDE bytes in common before or after the leading bytes
         size = np.diff(np.append(np.flatnonzero(same_token), len(t0)))
         rest = np.flatnonzero(~settled & np.repeat(size > 1, size))
-        for side in (sides[rest] >> 8, sides[rest] & 255):
+        for side in (sides[rest] >> 16, sides[rest] & 0xFFFF):
             r = rest[side > 0]
             if not len(r):
                 continue
-            key = group[r] * 256 + side[side > 0]
+            key = group[r] * 65536 + side[side > 0]
             o = np.lexsort((ids[r], key))
             r, key = r[o], key[o]
             new = heads(key)
@@ -276,16 +275,19 @@ def _compare(hot: bool, bodies: list[bytes]):
     yield _rows(doc_id=ids[w], row=rows[w], key=key, many=pa.array(many | hot), start=pa.array(first[w].astype(np.int32)), finish=pa.array(finish[w].astype(np.int32)))
 
 
-def _sorted_ranges(suffixes: DataFrame, ranges: Ranges) -> DataFrame:
+def _sorted_ranges(docs: DataFrame, ranges: Ranges) -> DataFrame:
+    """Each range in a task of its own."""
+    places = apart(ranges.count)
+
     def run(batches):
         bucket, bodies = None, []
         for batch in batches:
-            passed = batch.filter(batch.column(5).is_null())
+            passed = batch.filter(batch.column(6).is_null())
             if passed.num_rows:
                 k = passed.num_rows
-                yield _rows(doc_id=passed.column(1), row=passed.column(2), key=pa.nulls(k, pa.binary()), many=pa.array(np.zeros(k, bool)), start=passed.column(3), finish=passed.column(4))
-            held = batch.filter(batch.column(5).is_valid())
-            for b, body in zip(held.column(0).to_pylist(), held.column(5), strict=True):
+                yield _rows(doc_id=passed.column(2), row=passed.column(3), key=pa.nulls(k, pa.binary()), many=pa.array(np.zeros(k, bool)), start=passed.column(4), finish=passed.column(5))
+            held = batch.filter(batch.column(6).is_valid())
+            for b, body in zip(held.column(1).to_pylist(), held.column(6), strict=True):
                 if b != bucket and bodies:
                     yield from _compare(ranges.is_hot(bucket), bodies)
                     bodies = []
@@ -294,8 +296,7 @@ def _sorted_ranges(suffixes: DataFrame, ranges: Ranges) -> DataFrame:
         if bodies:
             yield from _compare(ranges.is_hot(bucket), bodies)
 
-    n = max(partitions(suffixes.sparkSession), ranges.count)
-    return suffixes.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), _OUT)
+    return _suffixes(docs, ranges, places).repartition(ranges.count, "place").sortWithinPartitions("bucket").mapInArrow(tidy(run), _OUT)
 
 
 def _strings(body: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -427,7 +428,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     size, count = known.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))), F.count("*")).first()
     wanted = max(2 * partitions(docs.sparkSession), math.ceil((size or 0) / RANGE_BYTES))
     ranges = Ranges(_splitters(known, min(MOST_RANGES, wanted), count))
-    found = written(_sorted_ranges(_suffixes(known, ranges), ranges), "suffix-ranges")
+    found = written(_sorted_ranges(known, ranges), "suffix-ranges")
     spans = found.where("key IS NULL").select("doc_id", "row", "start", "finish")
     return spans.unionByName(written(_opened(known, found.where("key IS NOT NULL")), "opened-runs"))
 

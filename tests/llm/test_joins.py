@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from runnel.llm import ngram_join, suffix_dedup
 from runnel.llm._graph import components
 from runnel.llm._order import multikey_quicksort
+from runnel.llm._shared import apart
 from runnel.llm._sketches import members_apart
 
 from .helpers import awkward, classes, documents, removed_bytes, word_sets
@@ -142,3 +143,9 @@ def test_packed_ranges_come_back():
     rng = np.random.default_rng(1)
     cols = [rng.integers(-5, 5, 999), rng.integers(0, 2, 999) * 77, rng.integers(0, 9, 999).astype(np.uint64), *[rng.integers(0, 9, 999).astype(k) for k in suffix_dedup._COLUMNS[1:]]]
     assert all(np.array_equal(a, b) for a, b in zip(cols, suffix_dedup._unpack(suffix_dedup._pack(*cols)), strict=True))
+
+
+def test_places_are_partitions_of_their_own(spark):
+    for n in (1, 7, 64, 301):
+        at = spark.createDataFrame([(int(x),) for x in apart(n)], "x int").repartition(n, "x").select(F.spark_partition_id().alias("p"))
+        assert sorted(r.p for r in at.collect()) == list(range(n))
