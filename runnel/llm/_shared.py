@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import fresh_dir
@@ -58,6 +58,11 @@ def apart(n: int) -> np.ndarray:
     return out
 
 
+def longs(values) -> Column:
+    """A constant array of whole numbers, of any length: one literal."""
+    return F.split(F.lit(",".join(str(int(v)) for v in values)), ",").cast("array<bigint>")
+
+
 def text_of(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 

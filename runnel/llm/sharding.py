@@ -2,8 +2,9 @@
 
 A size-weighted sample of keys gives quantile boundaries; records are range-partitioned by them; the exact bytes of every
 range are then summed, ranges that are overfull (one hot key, a group of copies) are subdivided by a hash of the record id,
-and the resulting cells are packed into shards, largest first. Only tables of bounded size reach the driver: the sample
-(SAMPLE keys or so), the splitters (RANGES) and the cells (at most RANGES + SUBDIVISIONS per overfull range).
+and the resulting cells are packed into shards, largest first. The number of ranges follows the number of records, and an overfull
+range has as many subdivisions as it holds times a range's share. Only tables of bounded size reach the driver: the sample
+(KEYS a range or so), the splitters and the cells. Texts are read once; keys, sizes and checksums are written and reread.
 
 DataFrame functions only. Null text: size 1, crc32 of nothing. Repeated rows: each gets a slot of its own. Empty table:
 no rows. Columns of the input other than id and text are not read.
@@ -16,21 +17,25 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import partitions, text_of
+from ._shared import longs, partitions, text_of, written
 
-RANGES = 1024
-SAMPLE = 16 * RANGES
+#: Ranges at least and at most, and records in a range, about.
+RANGES, MOST_RANGES = 1024, 1 << 16
+RECORDS = 1 << 17
+#: Sampled keys a range.
+KEYS = 16
 SUBDIVISIONS = 64
 
 
-def splitters(keyed: DataFrame, ranges: int = RANGES, sample: int = SAMPLE) -> list[int]:
+def splitters(keyed: DataFrame, ranges: int = RANGES, sample: int | None = None) -> list[int]:
     """At most ranges - 1 boundaries that cut the bytes of `keyed` (key long, id, size long) into about equal parts.
 
     Each record enters the sample with probability size * sample / total, decided by a hash of its id.
     """
     total = keyed.agg(F.sum("size")).first()[0]
-    if not total:
+    if not total or ranges < 2:
         return []
+    sample = sample or KEYS * ranges
     chance = F.col("size") * F.lit(sample / total)
     drawn = F.pmod(F.xxhash64(F.col("id"), F.lit("draw")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     rows = keyed.where(drawn < chance).groupBy("key").agg(F.sum(F.greatest(chance, F.lit(1.0))).alias("w")).collect()
@@ -49,7 +54,7 @@ def range_of(key: Column, bounds: list[int]) -> Column:
     """How many boundaries are below the key: binary search in a literal array."""
     if not bounds:
         return F.lit(0)
-    table, n = F.lit(bounds), len(bounds)
+    table, n = longs(bounds), len(bounds)
     steps = F.lit([1 << k for k in reversed(range(n.bit_length()))])
     return F.aggregate(steps, F.lit(0), lambda lo, s: F.when((lo + s <= n) & (F.get(table, lo + s - 1) < key), lo + s).otherwise(lo))
 
@@ -65,7 +70,7 @@ def pack(cells: list[tuple], shards: int) -> dict:
     return out
 
 
-def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", ranges: int = RANGES) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """doc id, size, text_crc32, shard and slot: sizes of shards near equal, slots gapless from 0 in each shard.
 
     The key is a hash of the text, so that equal texts share a range and a shard unless that range is overfull.
@@ -73,28 +78,34 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     text = text_of(text_col)
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"))
-    bounds = splitters(keyed, ranges)
-    placed = keyed.withColumn("range", range_of(F.col("key"), bounds)).withColumn("sub", F.pmod(F.xxhash64("id", F.lit("sub")), F.lit(SUBDIVISIONS)).cast("int"))
-    sums = placed.groupBy("range", "sub").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
-    total: dict[int, int] = {}
-    for r in sums:
-        total[r["range"]] = total.get(r["range"], 0) + r["bytes"]
-    full = max(1, sum(total.values()) // (8 * shards))
-    cells: dict[tuple[int, int], list[int]] = {}
-    for r in sums:
-        c = cells.setdefault((r["range"], r["sub"] if total[r["range"]] > full else -1), [0, 0])
-        c[0] += r["bytes"]
-        c[1] += r["n"]
+    keyed = written(keyed, "shard-keys")
+    ranges = ranges or min(MOST_RANGES, max(RANGES, keyed.count() // RECORDS))
+    placed = keyed.withColumn("range", range_of(F.col("key"), splitters(keyed, ranges)))
+    sums = [F.sum("size").alias("bytes"), F.count("*").alias("n")]
+    cells = {(r["range"], -1): [r["bytes"], r["n"]] for r in placed.groupBy("range").agg(*sums).collect()}
+    every = sum(c[0] for c in cells.values())
+    full, share = max(1, every // (8 * shards)), max(1, every // ranges)
+    # an overfull range, and into how many parts it is dealt
+    parts = {r: max(SUBDIVISIONS, -(-c[0] // share)) for (r, _), c in cells.items() if c[0] > full}
+    hot = sorted(parts)
+    cell_sub = F.lit(-1).cast("long")
+    if hot:
+        counts = F.map_from_arrays(longs(hot), longs(parts[r] for r in hot))
+        cell_sub = F.coalesce(F.pmod(F.xxhash64("id", F.lit("sub")), F.element_at(counts, F.col("range").cast("long"))), cell_sub)
+    placed = placed.withColumn("cell_sub", cell_sub.cast("int"))
+    if hot:
+        for r in hot:
+            del cells[r, -1]
+        split = placed.where("cell_sub >= 0").groupBy("range", "cell_sub").agg(*sums).collect()
+        cells |= {(r["range"], r["cell_sub"]): [r["bytes"], r["n"]] for r in split}
     chosen = pack([(k, c[0]) for k, c in cells.items()], shards)
     start, used = {}, [0] * shards
     for k in sorted(cells):
         start[k] = used[chosen[k]]
         used[chosen[k]] += cells[k][1]
-    hot = sorted({k[0] for k in cells if k[1] >= 0})
-    cell_sub = F.when(F.col("range").isin(hot), F.col("sub")).otherwise(F.lit(-1)) if hot else F.lit(-1)
     plan = spark.createDataFrame([(*k, chosen[k], start[k]) for k in sorted(cells)], "range int, cell_sub int, shard int, start long")
     w = Window.partitionBy("range", "cell_sub").orderBy("key", "id", "crc", "size")
-    ranked = placed.withColumn("cell_sub", cell_sub.cast("int")).withColumn("rank", F.row_number().over(w) - 1)
+    ranked = placed.withColumn("rank", F.row_number().over(w) - 1)
     return ranked.join(F.broadcast(plan), ["range", "cell_sub"]).select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("start") + F.col("rank")).alias("slot"))
 
 
