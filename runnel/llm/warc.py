@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import text_buffer
-from ._shared import partitions, written
+from ._shared import apart, longs, written
 from .sharding import range_of, splitters
 
 ROLL_BYTES = 16 << 20
@@ -32,7 +32,7 @@ ROLL_BYTES = 16 << 20
 RANGE_ROLLS = 16
 #: Bytes of a file that the reader decompresses at once.
 READ_BYTES = 64 << 10
-MAX_RANGES = 4096
+MAX_RANGES = 1 << 16
 DATE = "1970-01-01T00:00:00Z"
 CRLF = b"\r\n"
 
@@ -100,9 +100,11 @@ def write(pages: DataFrame, path: str, revisit_bytes: int = 0, roll_bytes: int =
     rows = pages.select("page_id", F.col("url"), F.col("html"), F.lit(None).cast("long").alias("refers_to"), none.alias("digest"), F.xxhash64(F.coalesce("html", F.lit(""))).alias("hash"), F.lit(True).alias("page"))
     marks = revisits(pages, revisit_bytes).select("page_id", none.alias("url"), none.alias("html"), "refers_to", "digest", "hash", F.lit(False).alias("page"))
     both = rows.unionByName(marks).withColumn("range", range_of(F.coalesce(F.col("page_id"), F.lit((1 << 63) - 1)), bounds))
+    n = len(bounds) + 1
+    both = both.withColumn("place", F.get(longs(apart(n)), F.col("range")).cast("int"))  # each range is a task
     # the marks of an id and hash come just before its pages
     order = [F.col("range"), F.asc_nulls_last("page_id"), F.col("hash"), F.col("page"), F.col("url")]
-    dealt = both.repartition(partitions(spark), "range").sortWithinPartitions(*order)
+    dealt = both.repartition(n, "place").sortWithinPartitions(*order).drop("place")
     attempt_dir = f"{path.rstrip('/')}/_temporary"
 
     def run(batches):
