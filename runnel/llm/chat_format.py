@@ -1,7 +1,8 @@
 """Chat formatting with Spark expressions only.
 
-Turn structs are collected and sorted per conversation; adjacent turns of one role become one block; the output string is
-concatenated, with a loss mask of code-point spans over assistant texts.
+Turn structs are collected and sorted per conversation; adjacent turns of one role are merged into one block, an aggregate of
+the array of their texts; the output string is concatenated, with a loss mask of code-point spans over assistant texts. Where a turn's text
+begins is a running sum over the conversation's rows, so that work grows with the number of turns and not with its square.
 
 Template: a user block is `[INST] texts [/INST]`, an assistant block `<s> texts </s>`, a system block `[SYS] texts [/SYS]`,
 any other role `[ROLE=base64 of role] texts [/ROLE]`; texts of a block are joined by `[+]`. A control string inside a text
@@ -13,7 +14,7 @@ and equal conversations need no care.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What follows the opening bracket of a control string.
@@ -40,36 +41,30 @@ def _closer(role: Column) -> Column:
 
 def format_chat(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """id, n_turns, n_blocks, formatted, loss_mask array of (start, length) in code points."""
-    rows = turns.select(
-        F.col(id_col).alias("id"),
-        F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), escape(F.coalesce(F.col(text_col), F.lit(""))).alias("text")).alias("t"),
-    )
-    sorted_ = rows.groupBy("id").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    before = lambda i: F.get("t", i - 1)["role"]
-    after = lambda i: F.get("t", i + 1)["role"]
-    marked = sorted_.withColumn(
-        "p",
-        F.transform(
-            "t",
-            lambda x, i: F.struct(
-                F.when(before(i).eqNullSafe(x["role"]), F.lit(JOINT)).otherwise(_opener(x["role"])).alias("head"),
-                x["text"].alias("text"),
-                F.when(after(i).eqNullSafe(x["role"]), F.lit("")).otherwise(_closer(x["role"])).alias("tail"),
-                (x["role"] == "assistant").alias("loss"),
-            ),
-        ),
-    )
-    length = lambda p: F.char_length(p["head"]) + F.char_length(p["text"]) + F.char_length(p["tail"])
-    ends = F.aggregate("p", F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + length(p))))
-    spans = F.transform("p", lambda p, i: F.struct((F.get("e", i) + F.char_length(p["head"])).alias("start"), F.char_length(p["text"]).alias("length"), p["loss"].alias("loss")))
-    out = marked.withColumn("e", ends).withColumn("spans", spans)
+    rows = turns.select(F.col(id_col).alias("id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("raw"))
+    in_order = Window.partitionBy("id").orderBy("turn", "role", "raw")
+    role = F.col("role")
+    begins, ends = ~role.eqNullSafe(F.lag(role).over(in_order)), ~role.eqNullSafe(F.lead(role).over(in_order))
+    rows = rows.withColumns({"pos": F.row_number().over(in_order), "text": escape(F.col("raw")), "begins": begins, "ends": ends})
+    head = F.when(F.col("begins"), F.char_length(_opener(role))).otherwise(F.char_length(F.lit(JOINT)))
+    tail = F.when(F.col("ends"), F.char_length(_closer(role))).otherwise(F.lit(0))
+    rows = rows.withColumns({"head": head, "chars": F.char_length("text"), "size": head + F.char_length("text") + tail})
+    before = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("int") + F.col("head"))
+    turn = F.struct("pos", "role", "text", "begins", "start", "chars")
+    sorted_ = rows.groupBy("id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
+    # a block is a stretch of turns: from one that begins it up to the next that does
+    firsts = F.transform(F.filter("t", lambda x: x["begins"]), lambda x: x["pos"])
+    merged = lambda first, i: F.slice("t", first, F.coalesce(F.get("firsts", i + 1), F.size("t") + 1) - first)
+    blocks = F.transform("firsts", lambda first, i: F.struct(F.get("t", first - 1)["role"].alias("role"), F.array_join(F.transform(merged(first, i), lambda x: x["text"]), JOINT).alias("text")))
+    out = sorted_.withColumn("firsts", firsts).withColumn("blocks", blocks)
     return out.select(
         F.col("id").alias(id_col),
         F.size("t").cast("long").alias("n_turns"),
-        F.size(F.filter("p", lambda p: p["head"] != JOINT)).cast("long").alias("n_blocks"),
-        F.array_join(F.transform("p", lambda p: F.concat(p["head"], p["text"], p["tail"])), "").alias("formatted"),
-        F.transform(F.filter("spans", lambda s: s["loss"]), lambda s: F.struct(s["start"], s["length"])).alias("loss_mask"),
-    )
+        F.size("blocks").cast("long").alias("n_blocks"),
+        F.array_join(F.transform("blocks", lambda b: F.concat(_opener(b["role"]), b["text"], _closer(b["role"]))), "").alias("formatted"),
+        F.transform(F.filter("t", lambda x: x["role"] == "assistant"), lambda x: F.struct(x["start"].alias("start"), x["chars"].alias("length"))).alias("loss_mask"),
+    )
 
 
 def read_back(formatted: Column) -> Column:
