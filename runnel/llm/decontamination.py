@@ -1,21 +1,22 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-Each shard (about two MB of text of one task) becomes a sequence of word symbols: words that no benchmark item has are
-separators, as are document ends. All windows of the items are searched backward at once through wavelet-tree ranks;
+Each shard (about two MB of text of one task) becomes one sequence of all its words, as symbols, with separators at document ends, and
+an FM-index is built over it once. All windows of the items are searched backward at once through wavelet-tree ranks;
 occurrences are located by sampled suffix positions; overlapping removal spans merge. Shards need no shuffle.
 
 A window is `width` consecutive item words; an item of fewer words, but not none, is one window. Windows reach the tasks as
 broadcasts of at most MAX_WINDOWS each, made and used one after another, so neither driver nor task holds more than one block.
-Null texts have no words; items without words have no windows; repeated item ids act as one item each time; repeated
-document rows are treated one by one. Empty tables give no rows, or no hits.
+Null texts have no words; items without words have no windows; repeated item ids act as one item; windows of an item without an id hit, and the
+item is not counted or listed. Repeated document rows are treated one by one; other columns are not read, or pass unchanged. Empty tables give no
+rows, or no hits.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ MAX_WINDOWS = 1 << 18
 
 
 class Windows:
-    """Benchmark windows as symbol rows; shared words have one symbol."""
+    """Benchmark windows as rows of symbols, right-aligned; shared words have one symbol."""
 
     def __init__(self, texts: list[str], ids: list, width: int = WIDTH):
         raw = [(t or "").encode() for t in texts]
@@ -41,51 +42,57 @@ class Windows:
         s, e, first = words(data, offsets, IN_WORD)
         hashes = Prefix(data, HASH).ranges(s, e) if len(s) else np.zeros(0, np.uint64)
         self.vocabulary, symbols = np.unique(hashes, return_inverse=True)
-        rows, items = [], []
-        for i in range(len(ids)):
-            own = symbols[first[i] : first[i + 1]] + 1
-            for k in range(max(1, len(own) - width + 1) if len(own) else 0):
-                w = own[k : k + width]
-                rows.append((0,) * (width - len(w)) + tuple(w))
-                items.append(i)
+        n = np.diff(first)
+        count = np.where(n > 0, np.maximum(n - width + 1, 1), 0)
+        item = np.repeat(np.arange(len(n)), count)
+        at = first[item] + np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+        size = np.minimum(n[item], width)
+        rows = np.zeros((len(item), width), np.int64)
+        for k in range(1, width + 1):
+            live = size >= k
+            rows[live, -k] = symbols[at[live] + size[live] - k] + 1
         self.ids = list(ids)
-        distinct = {r: k for k, r in enumerate(dict.fromkeys(rows))}
-        self.patterns = np.array(list(distinct), np.int64).reshape(-1, width)
+        self.patterns, which = np.unique(rows, axis=0, return_inverse=True) if len(rows) else (rows, np.zeros(0, np.int64))
         self.lengths = (self.patterns > 0).sum(1)
-        pair = np.unique(np.array([(distinct[r], i) for r, i in zip(rows, items, strict=True)], np.int64).reshape(-1, 2), axis=0)
+        pair = np.unique(np.stack([which.ravel(), item], 1), axis=0)
         self.owner_start = np.searchsorted(pair[:, 0], np.arange(len(self.patterns) + 1))
         self.owner = pair[:, 1]
 
 
-def occurrences(w: Windows, data: np.ndarray, offsets: np.ndarray):
-    """Word bounds, each document's first word, and the (first word, window) of each occurrence in a shard."""
-    s, e, first = words(data, offsets, IN_WORD)
-    none = np.zeros(0, np.int64)
-    if not len(s) or not len(w.patterns):
-        return s, e, first, none, none
-    hashes = Prefix(data, HASH).ranges(s, e)
-    at = np.searchsorted(w.vocabulary, hashes)
-    at[at == len(w.vocabulary)] = 0
-    symbols = np.where(w.vocabulary[at] == hashes, at + 1, 0)
-    known = np.flatnonzero(symbols)
-    if not len(known):
-        return s, e, first, none, none
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[known]
-    breaks = np.ones(len(known) + 1, bool)
-    breaks[1:-1] = (known[1:] != known[:-1] + 1) | (doc[1:] != doc[:-1])
-    runs = np.flatnonzero(breaks)
-    keep = np.diff(runs) >= w.lengths.min()  # a shorter run of known words holds no window
-    live = np.repeat(keep, np.diff(runs))
-    known, starts = known[live], np.cumsum(np.diff(runs)[keep])
-    if not len(known):
-        return s, e, first, none, none
-    seq = np.insert(symbols[known], starts, 0)
-    word = np.insert(known, starts, -1)
-    index = FMIndex(seq, len(w.vocabulary) + 1)
-    lo, hi = index.search(w.patterns, w.lengths)
-    found = hi - lo
-    rows = np.arange(found.sum()) - np.repeat(np.cumsum(found) - found - lo, found)
-    return s, e, first, word[index.locate(rows)], np.repeat(np.arange(len(found)), found)
+class Shard:
+    """The words of some documents, and an FM-index over all of them, one after another, documents parted by separators."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.starts, self.ends, self.first = words(data, offsets, IN_WORD)
+        if not len(self.starts):
+            return
+        codes, self.vocabulary = pd.factorize(Prefix(data, HASH).ranges(self.starts, self.ends))
+        # the commonest words have the smallest symbols
+        by_count = np.argsort(-np.bincount(codes), kind="stable")
+        symbol = np.empty(len(by_count), np.int64)
+        symbol[by_count] = np.arange(1, len(by_count) + 1)
+        self.vocabulary = self.vocabulary[by_count]
+        self.order = np.argsort(self.vocabulary)
+        ends = self.first[1:]
+        self.word = np.insert(np.arange(len(codes)), ends, -1)
+        self.index = FMIndex(np.insert(symbol[codes], ends, 0), len(by_count) + 1)
+
+    def occurrences(self, w: Windows) -> tuple[np.ndarray, np.ndarray]:
+        """The first word and the window of each occurrence."""
+        none = np.zeros(0, np.int64)
+        if not len(self.starts) or not len(w.patterns):
+            return none, none
+        ordered = self.vocabulary[self.order]
+        at = np.minimum(np.searchsorted(ordered, w.vocabulary), len(ordered) - 1)
+        symbols = np.concatenate([[0], np.where(ordered[at] == w.vocabulary, self.order[at] + 1, -1)])
+        patterns = symbols[w.patterns]
+        live = np.flatnonzero((patterns >= 0).all(1))  # a window with a word that the shard lacks is not in it
+        if not len(live):
+            return none, none
+        lo, hi = self.index.search(patterns[live], w.lengths[live])
+        found = hi - lo
+        rows = np.arange(found.sum()) - np.repeat(np.cumsum(found) - found - lo, found)
+        return self.word[self.index.locate(rows)], np.repeat(live, found)
 
 
 def _windows(items: Iterator[tuple], width: int) -> Iterator[Windows]:
@@ -123,17 +130,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str
     def run(batches):
         for batch, data, offsets in blocks(batches, "text"):
             n = len(offsets) - 1
-            hit_marks, pairs, first = None, [], None
+            shard = Shard(data, offsets)
+            s, e, first, pairs = shard.starts, shard.ends, shard.first, []
+            hit_marks = np.zeros(len(s) + 1, np.int64)
             for w in _each(blocks_of):
-                s, e, first, at, window = occurrences(w, data, offsets)
-                if hit_marks is None:
-                    hit_marks = np.zeros(len(s) + 1, np.int64)
+                at, window = shard.occurrences(w)
                 np.add.at(hit_marks, at, 1)
                 np.add.at(hit_marks, at + w.lengths[window], -1)
                 own = w.owner_start[window + 1] - w.owner_start[window]
                 owner = w.owner[np.arange(own.sum()) - np.repeat(np.cumsum(own) - own - w.owner_start[window], own)]
                 doc = np.searchsorted(first, np.repeat(at, own), "right") - 1
-                pairs += [(int(d), str(w.ids[i])) for d, i in np.unique(np.stack([doc, owner], 1), axis=0)]
+                pairs += [(int(d), str(w.ids[i])) for d, i in np.unique(np.stack([doc, owner], 1), axis=0) if w.ids[i] is not None]
             hit = np.cumsum(hit_marks[:-1]) > 0
             items = [[] for _ in range(n)]
             for d, i in sorted(set(pairs)):
@@ -166,11 +173,13 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, mi
         for batch, data, offsets in blocks(batches, text_col):
             cuts: dict[int, list] = {}
             owners: dict[int, set] = {}
+            shard = Shard(data, offsets)
+            s, e, first = shard.starts, shard.ends, shard.first
             for w in _each(blocks_of):
-                s, e, first, at, window = occurrences(w, data, offsets)
+                at, window = shard.occurrences(w)
                 for a, k in zip(at.tolist(), window.tolist(), strict=True):
                     d = int(np.searchsorted(first, a, "right")) - 1
-                    owners.setdefault(d, set()).update(w.ids[i] for i in w.owner[w.owner_start[k] : w.owner_start[k + 1]].tolist())
+                    owners.setdefault(d, set()).update(w.ids[i] for i in w.owner[w.owner_start[k] : w.owner_start[k + 1]].tolist() if w.ids[i] is not None)
                     cuts.setdefault(d, []).append((int(s[a] - offsets[d]), int(e[a + w.lengths[k] - 1] - offsets[d])))
             cuts = {d: spans for d, spans in cuts.items() if len(owners[d]) >= min_items}
             if not cuts:
@@ -196,6 +205,3 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, mi
 
     return docs.mapInArrow(tidy(run), schema)
 
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
