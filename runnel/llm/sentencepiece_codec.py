@@ -30,6 +30,8 @@ from ._shared import small_batches
 
 _IDS = ArrayType(IntegerType())
 SPACE = "▁"
+#: Pairs of pieces of which a worker remembers whether merging keeps them apart.
+PAIRS = 1 << 20
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
 
@@ -65,7 +67,9 @@ def _fields(raw: bytes):
 
 
 class Codec:
-    def __init__(self, model: bytes):
+    """merging: as a BPE model, or not: as a unigram model, by Viterbi on the scores; what the model says by default."""
+
+    def __init__(self, model: bytes, merging: bool | None = None):
         self.pieces: list[str] = []
         self.scores: list[float] = []
         kinds, trainer, normalizer = [], {}, {}
@@ -79,7 +83,7 @@ class Codec:
                 trainer = dict(_fields(value))
             elif number == 3:
                 normalizer = dict(_fields(value))
-        self.bpe = trainer.get(3, 1) == 2
+        self.bpe = trainer.get(3, 1) == 2 if merging is None else merging
         self.dummy_prefix = bool(normalizer.get(3, 1))
         self.squeeze = bool(normalizer.get(4, 1))
         self.kinds = kinds
@@ -119,6 +123,8 @@ class Codec:
         """Whether merging leaves the two pieces as they are, side by side."""
         pair = a * len(self.pieces) + b
         if pair not in self._apart:
+            if len(self._apart) >= PAIRS:
+                self._apart.clear()
             x, y = self.pieces[a], self.pieces[b]
             self._apart[pair] = self._merged(x + y) == [x, y]
         return self._apart[pair]
@@ -144,7 +150,7 @@ class Codec:
                     continue
                 fits = apart.get(ids[before] * many + i)
                 if fits is None:
-                    fits = self._whole(i) and self._keeps_apart(ids[before], i)
+                    fits = self._keeps_apart(ids[before], i) and self._whole(i)
                     apart[ids[before] * many + i] = fits
             else:
                 fits = alone.get(i)
@@ -233,18 +239,18 @@ class Codec:
 
 
 @lru_cache(2)
-def _codec(model: bytes) -> Codec:
-    return Codec(model)
+def _codec(model: bytes, merging: bool | None = None) -> Codec:
+    return Codec(model, merging)
 
 
-#: Words whose ids a task remembers; beyond it the memory starts anew, which changes no result.
-REMEMBERED = 1 << 18
+#: Words, and their characters, whose ids a task remembers; beyond it the memory starts anew, which changes no result.
+REMEMBERED, REMEMBERED_CHARS = 1 << 18, 1 << 23
 
 
-def encode(docs: DataFrame, model: bytes, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, text_col: str = "text", keep: list[str] | None = None, merging: bool | None = None) -> DataFrame:
     """The columns `keep` (all by default) with ids array<int>, n_ids, decoded_sha256 and exact: whether decoding gave the text back.
 
-    model is the content of a model file, of a few MB at most.
+    model is the content of a model file, of a few MB at most; merging as in Codec.
     """
     small_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "n_ids", "decoded_sha256", "exact")]
@@ -253,16 +259,18 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", keep: list[str
     schema = docs.select(*keep).schema.add("ids", _IDS).add("n_ids", "long").add("decoded_sha256", "string").add("exact", "boolean")
 
     def run(batches):
-        codec = _codec(model)
+        codec = _codec(model, merging)
         raw = [codec.raw_piece(i) for i in range(len(codec.pieces))]
         known: dict[str, int] = {}
+        chars = 0
         decoded: list[bytes] = []
         flat, bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
         for batch in batches:
             texts = batch.column(column).to_pylist()
             for a in range(0, len(texts), 512):
                 part = [t or "" for t in texts[a : a + 512]]
-                if len(known) > REMEMBERED:
+                if len(known) > REMEMBERED or chars > REMEMBERED_CHARS:
+                    chars = 0
                     known, decoded, flat, bounds = {}, [], flat[:0], bounds[:1]
                 rows, fresh = [], []
                 for t in part:
@@ -275,6 +283,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", keep: list[str
                                 k = known.get(w)
                                 if k is None:
                                     k = known[w] = len(decoded)
+                                    chars += len(w)
                                     fresh.append(codec.encode_word(w.replace(" ", SPACE)))
                                     decoded.append(b"".join([raw[i] for i in fresh[-1]]))
                                 at[j] = k
