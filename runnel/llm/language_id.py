@@ -1,11 +1,12 @@
 """Language identification of words by a linear-chain conditional random field.
 
-Every word has hashed affix, n-gram and lexicon features; learned transitions join neighbours; forward-backward gives each
+Every word has hashed affix, n-gram and lexicon features: its own identity, and whether it stands in the lexicon of a language, the words
+that are mostly seen in it. Learned transitions join neighbours; forward-backward gives each
 word's posterior over the languages, so that code-switched text is labelled word by word. A document gets the language
 with the most posterior mass, and its share as score.
 
-Training uses a bounded sample: about DOCS_PER_LANG labelled documents of each language chosen by a hash of the id, of each up to
-CHUNKS stretches of CHUNK_WORDS whole words, of any length, spread over the whole text. Stretches of different documents follow each other in
+Training uses a bounded sample of rows: about `docs_per_lang` labelled documents of each language, DOCS_PER_LANG by default, chosen by a hash of
+the id, of each the whole text. The texts are cut into stretches of CHUNK_WORDS words; stretches of different documents follow each other in
 the training sequences, so that switches are learned. Prediction reads every whole text. Only the text is a feature.
 
 Null text, empty text and text without a letter: `und` with score 0. Labels that are null are not learned. With no
@@ -25,8 +26,9 @@ from ._bytes import LOWER, Prefix, blocks, byte_class, tidy, words
 from ._shared import small_batches
 
 DOCS_PER_LANG = 300
-CHUNKS = 6
 CHUNK_WORDS = 24
+#: A word is in a language's lexicon if it has come so often in the sample, and this share of times in that language.
+LEXICON_COUNT, LEXICON_SHARE = 3, 0.8
 BITS = 16
 STEP = 32
 RUNS = T.ArrayType(T.StructType().add("lang", "string").add("words", "integer"))
@@ -45,7 +47,31 @@ def folded(data: np.ndarray) -> np.ndarray:
     return low
 
 
-def features(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Lexicon:
+    """Words, by their hashes, and the label that each mostly has."""
+
+    def __init__(self, hashes: np.ndarray | None = None, labels: np.ndarray | None = None):
+        self.hashes = np.zeros(0, np.uint64) if hashes is None else hashes
+        self.labels = np.zeros(0, np.int64) if labels is None else labels
+
+    @classmethod
+    def learned(cls, distinct: np.ndarray, by_label: np.ndarray) -> Lexicon:
+        """From how often each distinct word has come with each label."""
+        total = by_label.sum(1)
+        sure = np.flatnonzero((total >= LEXICON_COUNT) & (by_label.max(1) >= LEXICON_SHARE * total))
+        sure = sure[np.argsort(distinct[sure])]
+        return cls(distinct[sure], by_label[sure].argmax(1))
+
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the words stand in it, and with which label."""
+        if not len(self.hashes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        found = np.flatnonzero(self.hashes[at] == hashes)
+        return found, self.labels[at[found]]
+
+
+def features(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     """Feature ids of words one after another, and where each word's begin."""
     size = ends - starts
     total = int(size.sum())
@@ -67,21 +93,23 @@ def features(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.n
     ]
     at3 = right >= 3
     parts.append((of[at3], (three[at3] * _K[1]) >> np.uint64(64 - BITS)))
+    listed, label = lexicon.of(hashes)
+    parts.append((listed, ((label.astype(np.uint64) + np.uint64(1 << 40)) * _K[1]) >> np.uint64(64 - BITS)))
     owner, ids = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
     order = np.argsort(owner, kind="stable")
     return ids[order], np.searchsorted(owner[order], np.arange(len(size)))
 
 
 class Model:
-    def __init__(self, labels: list[str], weights: np.ndarray, transitions: np.ndarray):
-        self.labels, self.weights, self.transitions = labels, weights, transitions
+    def __init__(self, labels: list[str], weights: np.ndarray, transitions: np.ndarray, lexicon: Lexicon | None = None):
+        self.labels, self.weights, self.transitions, self.lexicon = labels, weights, transitions, lexicon or Lexicon()
 
     def emissions(self, low, starts, ends, hashes):
         """Scores of the distinct words, and each word's row in them."""
         codes, distinct = pd.factorize(hashes)
         at = np.empty(len(distinct), np.int64)
         at[codes[::-1]] = np.arange(len(codes))[::-1]
-        ids, begin = features(low, starts[at], ends[at], distinct)
+        ids, begin = features(low, starts[at], ends[at], distinct, self.lexicon)
         return np.add.reduceat(self.weights[ids], begin, axis=0), codes
 
     def posteriors(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -100,9 +128,11 @@ class Model:
         e = em[at]
         e[~live] = 0
         c = len(start)
+        begins = (start == first[doc])[:, None]  # no transition leads into a document's first word
         move = np.broadcast_to(np.eye(k, dtype=em.dtype), (c, k, k))
         for t in range(STEP):
-            nxt = (move.reshape(-1, k) @ trans).reshape(c, k, k) * e[:, t, None, :]
+            nxt = (move.reshape(-1, k) @ trans).reshape(c, k, k)
+            nxt = (nxt if t else np.where(begins[:, :, None], em.dtype.type(1), nxt)) * e[:, t, None, :]
             nxt /= np.maximum(nxt.max((1, 2), keepdims=True), 1e-30)
             move = np.where(live[:, t, None, None], nxt, move)
         ahead, back = np.empty((c, k), em.dtype), np.empty((c, k), em.dtype)
@@ -122,7 +152,7 @@ class Model:
         f = np.empty((STEP, c, k), em.dtype)
         cur = ahead
         for t in range(STEP):
-            cur = (cur @ trans) * e[:, t]
+            cur = (cur @ trans if t else np.where(begins, em.dtype.type(1), cur @ trans)) * e[:, t]
             cur /= np.maximum(cur.sum(1, keepdims=True), 1e-30)
             f[t] = cur
         cur = back
@@ -144,24 +174,15 @@ class Model:
         return s, e, first, self.posteriors(scores[codes], first)
 
 
-def _stretches(docs: DataFrame, text_col: str, label_col: str) -> DataFrame:
-    """Per document: its label and up to CHUNKS stretches of words, spread over the whole text."""
+def _texts(docs: DataFrame, text_col: str, label_col: str) -> DataFrame:
+    """Per document: its label, and its whole text in lower case."""
 
     def run(batches):
         for batch, data, offsets in blocks(batches, "text"):
-            s, e, first = words(data, offsets, LETTER)
             low = folded(data).tobytes()
-            rows = []
-            for d in range(len(offsets) - 1):
-                n = int(first[d + 1] - first[d])
-                m = min(CHUNKS, -(-n // CHUNK_WORDS))
-                for c in range(m):
-                    a = int(first[d]) + (c * max(0, n - CHUNK_WORDS) // max(1, m - 1) if m > 1 else 0)
-                    rows.append((d, [low[s[i] : e[i]] for i in range(a, min(a + CHUNK_WORDS, int(first[d + 1])))]))
-            idx = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(idx), batch.column(1).take(idx), pa.array([r[1] for r in rows], pa.list_(pa.binary()))], names=["r", "label", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([low[x:y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())], names=["r", "label", "low"])
 
-    return docs.select("r", F.col(label_col).alias("label"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "r long, label string, words array<binary>")
+    return docs.select("r", F.col(label_col).alias("label"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "r long, label string, low binary")
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> Model:
@@ -174,37 +195,43 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     rate = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, docs_per_lang / n))])
     rank = F.xxhash64(F.col(id_col), F.lit("sample"))
     chosen = rows.withColumn("r", rank).where(F.pmod("r", F.lit(1 << 30)) < rate[F.col(label_col)] * (1 << 30))
-    return fit([(r.label, list(r.words)) for r in sorted(_stretches(chosen, text_col, label_col).collect(), key=lambda r: (r.r, r.words))], sorted(counts))
+    return fit([(r.label, r.low) for r in sorted(_texts(chosen, text_col, label_col).collect(), key=lambda r: (r.r, r.low))], sorted(counts))
 
 
-def fit(stretches: list[tuple[str, list[bytes]]], labels: list[str]) -> Model:
-    """Maximises the likelihood of the labels with Adam; three stretches make a sequence."""
+def fit(texts: list[tuple[str, bytes]], labels: list[str]) -> Model:
+    """Maximises the likelihood of the labels of all words of the texts (in lower case) with Adam; three stretches make a sequence."""
     k, per = len(labels), 3
     width = per * CHUNK_WORDS
-    order = np.random.default_rng(7).permutation(len(stretches))
-    flat, y, mask = [], np.zeros((-(-len(order) // per), width), np.int64), None
-    mask = np.zeros(y.shape, bool)
-    place = np.zeros(y.shape, np.int64)
-    for i, o in enumerate(order):
-        row = i // per
-        a = int(mask[row].sum())
-        label, ws = stretches[o]
-        y[row, a : a + len(ws)] = labels.index(label)
-        mask[row, a : a + len(ws)] = True
-        place[row, a : a + len(ws)] = np.arange(len(flat), len(flat) + len(ws))
-        flat += ws
-    data = np.frombuffer(b"".join(flat), np.uint8)
-    ends = np.cumsum([len(w) for w in flat])
-    starts = ends - np.array([len(w) for w in flat])
+    data = np.frombuffer(b"".join(t for _, t in texts), np.uint8)
+    starts, ends, first = words(data, np.concatenate([[0], np.cumsum([len(t) for _, t in texts])]).astype(np.int64), LETTER)
+    if not len(starts):
+        return Model([], np.zeros((1, 1), np.float32), np.zeros((1, 1), np.float32))
+    # stretches of each text, in a random order, three a row
+    parts = -(-np.diff(first) // CHUNK_WORDS)
+    doc = np.repeat(np.arange(len(texts)), parts)
+    begin = first[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)) * CHUNK_WORDS
+    size = np.minimum(CHUNK_WORDS, first[doc + 1] - begin)
+    order = np.random.default_rng(7).permutation(len(doc))
+    doc, begin, size = doc[order], begin[order], size[order]
+    row = np.arange(len(order)) // per
+    before = np.cumsum(size) - size
+    at = before - before[row * per]
+    y = np.zeros((-(-len(order) // per), width), np.int64)
+    mask, place = np.zeros(y.shape, bool), np.zeros(y.shape, np.int64)
+    inner = np.arange(size.sum()) - np.repeat(before, size)
+    cell = (np.repeat(row, size), np.repeat(at, size) + inner)
+    label_of = np.array([labels.index(label) for label, _ in texts], np.int64)
+    y[cell], mask[cell], place[cell] = np.repeat(label_of[doc], size), True, np.repeat(begin, size) + inner
     codes, distinct = pd.factorize(Prefix(data).ranges(starts, ends))
     at = np.empty(len(distinct), np.int64)
     at[codes[::-1]] = np.arange(len(codes))[::-1]
-    ids, begin = features(data, starts[at], ends[at], distinct)
-    per_word = np.diff(np.append(begin, len(ids)))
     row = codes[place]
     gold = np.zeros((len(distinct), k))
     for j in range(k):
         gold[:, j] = np.bincount(row[mask & (y == j)], minlength=len(distinct))
+    lexicon = Lexicon.learned(distinct, gold)
+    ids, begin = features(data, starts[at], ends[at], distinct, lexicon)
+    per_word = np.diff(np.append(begin, len(ids)))
     pair = mask[:, 1:] & mask[:, :-1]
     gold_pairs = np.zeros((k, k))
     np.add.at(gold_pairs, (y[:, :-1][pair], y[:, 1:][pair]), 1)
@@ -242,7 +269,7 @@ def fit(stretches: list[tuple[str, list[bytes]]], labels: list[str]) -> Model:
             a += 0.1 * (grad - a)
             c += 0.01 * (grad * grad - c)
             x += rate * (a / (1 - 0.9**step)) / (np.sqrt(c / (1 - 0.99**step)) + 1e-8)
-    return Model(labels, w.astype(np.float32), t.astype(np.float32))
+    return Model(labels, w.astype(np.float32), t.astype(np.float32), lexicon)
 
 
 def _has_letter(text: str) -> bool:
