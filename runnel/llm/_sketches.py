@@ -47,8 +47,8 @@ def _values(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
 
 
-#: Bits of a membership filter at most: 8 MB, whatever the number of ids.
-FILTER_BITS = 26
+#: Bits of a membership filter at most: 32 MB, enough for 16 million ids. Beyond, more rows that are no members are shuffled.
+FILTER_BITS = 28
 PROBES = 4
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ._bytes import BYTE_HASH, LOWER, Prefix, blocks, byte_class, mix, shingles, tidy, words
 from ._graph import components
-from ._shared import small_batches, written
+from ._shared import fresh_name, small_batches, written
 from ._sketches import combined, members_apart, only_members
 
 IN_WORD = ~byte_class((0x20, 0x20), (0x09, 0x0D))
@@ -200,7 +200,8 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
 
 
 def first_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those whose class has a document with a smaller doc_id; columns stay as they are. Of rows that repeat an id one stays.
+    """docs without those whose class has a document with a smaller doc_id; columns stay as they are. Of rows that repeat an id the one with the
+    least hash of its text, then of its other columns, stays.
 
     Only rows that may have to go are shuffled.
     """
@@ -208,4 +209,8 @@ def first_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
     twice = classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     maybe, stays = members_apart(docs, "doc_id", gone.unionByName(twice))
-    return stays.unionByName(maybe.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns))
+    kept = maybe.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    hashed = [F.xxhash64(F.coalesce("text", F.lit(""))), F.xxhash64(*docs.columns)]
+    row = fresh_name("row", docs.columns)
+    one = kept.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(*hashed)).alias(row))
+    return stays.unionByName(one.select(f"{row}.*"))
