@@ -15,6 +15,19 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"), 3, 90)
 
 
+#: Shingles as joined words (or all words of a short text); pairs that share a shingle; documents reached by links.
+OP1_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+reached(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(least, d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS least FROM reached GROUP BY 1) r ON r.a = d.doc_id
+"""
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loads estimates for all documents, revises them to exact counts, adds a second tokenizer, removes toxic documents; sends a batch twice."""
     docs = table(spark, sf_dir, "documents")
@@ -46,6 +59,21 @@ GROUP BY ALL
 """
 
 
+#: Public byte-pair vocabularies as rank files, by tokenizer version.
+VOCABULARIES = {"byte-bpe-50k": "/opt/tokenizers/byte_bpe_50k.tiktoken", "byte-bpe-multi-50k": "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"}
+
+
+def token_counts_bpe(spark: SparkSession, sf_dir: str, vocabularies: dict[str, str] | None = None) -> DataFrame:
+    """The rollup over public byte-pair tokenizers: loads all documents under the first, then under the second, and folds in between."""
+    read = {v: Path(p).read_bytes() for v, p in (vocabularies or VOCABULARIES).items()}
+    counted = written(token_counts.with_bpe_counts(table(spark, sf_dir, "documents").select("source", "lang", "text"), read).drop("text"), "bpe-counts")
+    rollup = token_counts.Rollup(spark, fresh_dir(spark, "token-rollup"))
+    for v in read:
+        rollup.commit(v, counted.select("source", "lang", F.lit("insert").alias("op"), F.lit(v).alias("tokenizer_version"), F.col(v).alias("tokens")))
+        rollup.fold()
+    return rollup.totals()
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
 
@@ -137,6 +165,12 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_
     return sentencepiece_codec.encode(docs, model, keep=["doc_id"])
 
 
+def sentencepiece_viterbi(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL) -> DataFrame:
+    """The same texts with the model's pieces and scores read as a unigram model: Viterbi on the scores."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_codec.encode(docs, Path(model_path).read_bytes(), keep=["doc_id"], merging=False)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
@@ -162,7 +196,7 @@ dw AS (
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lens WHERE len(w) >= n)
 ), hits AS (SELECT doc_id, item_id, dw.n, i FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
 marked AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY 1),
-found AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS h FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hits) GROUP BY 1)
+found AS (SELECT doc_id, count(s) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS h FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hits) GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(h, sha256('')) AS items_sha256,
   coalesce(n_items, 0) >= 2 AS contaminated
 FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN found USING (doc_id)
@@ -176,5 +210,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", held_out, "text"), model, keep=["doc_id", "held_out"]).drop("runs")
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_token_counts": op2_token_counts, "op3_suffix_dedup": op3_suffix_dedup, "op4_warc": op4_warc, "op5_fingerprints": op5_fingerprints, "op6_chat_format": op6_chat_format, "op7_sentencepiece": op7_sentencepiece, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination, "op10_language_id": op10_language_id}
-ORACLES = {"op2_token_counts": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op6_chat_format": OP6_SQL, "op9_decontamination": OP9_SQL}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_token_counts": op2_token_counts, "op3_suffix_dedup": op3_suffix_dedup, "op4_warc": op4_warc, "op5_fingerprints": op5_fingerprints, "op6_chat_format": op6_chat_format, "op7_sentencepiece": op7_sentencepiece, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination, "op10_language_id": op10_language_id, "token_counts_bpe": token_counts_bpe, "sentencepiece_viterbi": sentencepiece_viterbi}
+ORACLES = {"op1_ngram_join": OP1_SQL, "op2_token_counts": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op6_chat_format": OP6_SQL, "op9_decontamination": OP9_SQL}

@@ -149,3 +149,10 @@ def test_places_are_partitions_of_their_own(spark):
     for n in (1, 7, 64, 301):
         at = spark.createDataFrame([(int(x),) for x in apart(n)], "x int").repartition(n, "x").select(F.spark_partition_id().alias("p"))
         assert sorted(r.p for r in at.collect()) == list(range(n))
+
+
+def test_of_repeated_ids_the_same_row_stays(spark):
+    rows = [(1, "a b c d e f g", 5), (1, "other words than those before it", 6), (1, "other words than those before it", 7), (2, "x y z x y w", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    kept = lambda df: sorted((r.doc_id, r.text, r.n) for r in ngram_join.first_of_each(df).collect())
+    assert kept(docs) == kept(docs.orderBy(F.desc("n"))) == kept(docs.repartition(3)) and len(kept(docs)) == 2

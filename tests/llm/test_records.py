@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runnel.llm import chat_format, sharding, token_counts, warc
-from runnel.llm.queries import op6_chat_format
+from runnel.llm.queries import op6_chat_format, op8_sharding
 
 from .helpers import SF, awkward, documents
 
@@ -151,3 +151,118 @@ def test_token_counts(spark, tmp_path):
     assert not r.committed("5")
     with pytest.raises(ValueError):
         r.commit("a/b", two)
+
+
+def test_a_fold_may_stop_anywhere(spark, tmp_path):
+    """Each step of a fold fails once; totals stay, and no batch counts again."""
+
+    class Stop(Exception):
+        pass
+
+    class Steps:
+        """A file system whose changes can be stopped before the nth one."""
+
+        def __init__(self, fs):
+            self.fs, self.left = fs, None
+
+        def __getattr__(self, name):
+            def call(*args):
+                if name in ("rename", "delete") and self.left is not None:
+                    if not self.left:
+                        raise Stop
+                    self.left -= 1
+                return getattr(self.fs, name)(*args)
+
+            return call
+
+    want = {("a", "en", "v1"): (6, 60)}
+    for stop in range(8):
+        r = token_counts.Rollup(spark, f"file://{tmp_path}/r{stop}")
+        r._fs = Steps(r._fs)
+        got = lambda r=r: {(x.source, x.lang, x.tokenizer_version): (x.docs, x.tokens) for x in r.totals().collect()}
+        one = changes(spark, [("insert", "a", "en", "v1", 10, None)] * 2)
+        assert r.commit("1", one) and r.commit("2", one)
+        r.fold()
+        assert r.commit("3", one)
+        r._fs.left = stop
+        try:
+            r.fold()
+        except Stop:
+            pass
+        r._fs.left = None
+        assert got() == want and not any(r.commit(b, one) for b in "123") and got() == want
+        r.fold()
+        assert got() == want and r._names("deltas") == [] and len(r._names("bases")) == 1
+    # a fold that stops while it writes leaves a folder that does not count
+    r.commit("4", one)
+    r._fold_into(r._base(), r._open(r._base()), "bases/tmp-left")
+    assert got() == {("a", "en", "v1"): (8, 80)}
+    r.fold()
+    assert got() == {("a", "en", "v1"): (8, 80)} and len(r._names("bases")) == 1
+
+
+def test_two_tries_of_a_batch_count_once(spark, tmp_path):
+    r = token_counts.Rollup(spark, f"file://{tmp_path}/r")
+    one = changes(spark, [("insert", "a", "en", "v1", 10, None)])
+    token_counts.deltas(one).write.parquet(f"file://{tmp_path}/r/deltas/1/zzzz")  # another sender's, complete
+    assert not r.commit("1", one)
+    (tmp_path / "r/deltas/2/0000").mkdir(parents=True)  # one that stopped
+    assert r.commit("2", one)
+    assert [(x.docs, x.tokens) for x in r.totals().collect()] == [(2, 20)]
+
+
+def test_byte_pair_counts(spark):
+    from tokenizers import Tokenizer
+
+    texts = [*awkward(), "a" * 30_000, None]
+    library = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    docs = documents(spark, texts)
+    got = token_counts.with_bpe_counts(docs, {"v": Path("/opt/tokenizers/byte_bpe_50k.tiktoken").read_bytes()})
+    assert got.columns == [*docs.columns, "v"]
+    want = {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.v for r in got.collect()} == want
+    with pytest.raises(ValueError, match="lang"):
+        token_counts.with_bpe_counts(docs, {"lang": b""})
+
+
+def test_the_sharding_query(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = op8_sharding(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    size, slots = [0] * 16, {}
+    for r in rows:
+        raw = (docs[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
+        size[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(size) - min(size) <= max(r.size for r in rows)
+
+
+def test_shards_of_null_ids_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(None, "x", 1), (None, None, 2), (1, "y", 3), (1, "y", 4)] * 3, "doc_id long, text string, shard int")
+    rows = sharding.shard(docs, 4).collect()
+    assert sorted(r.size for r in rows) == [1] * 3 + [2] * 9
+    assert {s: sorted(r.slot for r in rows if r.shard == s) for s in {r.shard for r in rows}} == {s: list(range(sum(r.shard == s for r in rows))) for s in {r.shard for r in rows}}
+
+
+def test_long_and_no_conversations(spark):
+    turns = [(1, i, ("user", "user", "assistant")[i % 3], f"t{i} [+]") for i in range(5000)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    out = chat_format.format_chat(df)
+    r = out.withColumn("back", chat_format.read_back(F.col("formatted"))).withColumn("loss", chat_format.masked_texts(F.col("formatted"), F.col("loss_mask"))).first()
+    assert [(t.role, t.text) for t in r.back] == [(role, text) for _, _, role, text in turns]
+    assert r.loss == [text for _, _, role, text in turns if role == "assistant"] and r.n_blocks == 3333
+    assert chat_format.format_chat(df.where("false")).count() == 0
+
+
+def test_an_archive_without_pages_and_a_manifest_renamed_twice(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}</p>" * 50) for i in range(40)], "page_id long, url string, html string")
+    at = f"file://{tmp_path}/w"
+    manifest = warc.write(pages, at, roll_bytes=400, range_bytes=2000)
+    assert manifest.count() > 3 and warc.read(spark, at).count() == 40
+    assert sorted(p.name for p in (tmp_path / "w/data").glob("*.gz")) == sorted(r.name for r in manifest.collect())
+    empty = f"file://{tmp_path}/empty"
+    warc.write(pages.where("false"), empty)
+    (tmp_path / "empty/data").mkdir(parents=True, exist_ok=True)
+    assert warc.read(spark, empty).count() == 0

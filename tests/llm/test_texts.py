@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -177,3 +178,166 @@ def test_fingerprints(spark):
         assert abs(rows[i].near_edited - true) < 0.2
     assert rows[len(texts) - 1].fingerprint == rows[len(texts) - 2].fingerprint != ""
     assert rows[0].fingerprint == "" and fingerprints.edit_likeness(docs.where("false")).count() == 0
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def plain_fingerprint(text):
+    """The fingerprint by its definition, hash by hash."""
+    from struct import pack
+
+    from xxhash import xxh64_intdigest
+
+    def chained(kind, *values):
+        seed = 42
+        for v in values:
+            seed = xxh64_intdigest(pack(kind, v), seed)
+        return signed(seed)
+
+    words = [w for w in re.split("[\x20\x09-\x0d]+", (text or "").lower()) if w]
+    if not words:
+        return ""
+    hashes = [signed(xxh64_intdigest(w.encode(), 42)) for w in words]
+    shingles = [chained("<q", *hashes[i : i + 5]) for i in range(len(hashes) - 4)] if len(hashes) >= 5 else [signed(xxh64_intdigest(" ".join(map(str, hashes)).encode(), 42))]
+    bins = {}
+    for h in shingles:
+        b = (h >> 56) + 128
+        bins[b] = min(bins.get(b, h), h)
+    out = []
+    for i in range(256):
+        if i in bins:
+            h = bins[i]
+        else:
+            probe = next((p for j in range(8) if (p := chained("<i", i, j) % 256) in bins), None)
+            h = bins[probe] if probe is not None else min((chained("<i", i, b), h) for b, h in bins.items())[1]
+        out.append(f"{h & 255:02x}")
+    return "".join(out)
+
+
+def test_fingerprints_by_definition(spark):
+    texts = awkward()
+    rows = {r.doc_id: r for r in fingerprints.edit_likeness(documents(spark, texts)).collect()}
+    prints = [plain_fingerprint(t) for t in texts]
+    for i, t in enumerate(texts):
+        after, t = texts[(i + 1) % len(texts)] or "", t or ""
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        assert (rows[i].n_chars, rows[i].fingerprint, rows[i].edited_fingerprint) == (len(t), prints[i], plain_fingerprint(edited))
+        assert rows[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+
+        def near(a, b):
+            if a == b or not a or not b:
+                return float(a == b)
+            share = sum(a[k : k + 2] == b[k : k + 2] for k in range(0, 512, 2)) / 256
+            return max(0.0, (share - 1 / 256) / (1 - 1 / 256))
+
+        assert abs(rows[i].near_next - near(prints[i], prints[(i + 1) % len(texts)])) < 1e-12
+        assert abs(rows[i].near_edited - near(prints[i], rows[i].edited_fingerprint)) < 1e-12
+
+
+def test_fingerprints_of_repeated_and_null_ids(spark):
+    rows = [(1, "a b c d e f"), (2, "first text of two"), (2, "second one with other words"), (2, "first text of two"), (None, "no id at all here"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fingerprint", F.lit(1)).withColumn("__place", F.lit(1))
+    answer = lambda df: sorted(map(repr, fingerprints.edit_likeness(df).collect()))
+    assert answer(docs) == answer(docs.repartition(5)) == answer(docs.orderBy(F.desc("text")))
+    assert len(answer(docs)) == 6 and [r.doc_id for r in fingerprints.edit_likeness(docs.where("doc_id = 1")).collect()] == [1]
+
+
+def test_null_items_extra_columns_and_long_texts(spark):
+    said = " ".join(f"q{k}" for k in range(10))
+    texts = [f"before {said} after", said.upper() + " " + " ".join(f"w{k}" for k in range(60_000)) + " " + said, None, "nothing of it"]
+    docs = documents(spark, texts).withColumn("items", F.lit("x")).withColumn("id", F.lit(1)).withColumn("spans", F.lit(2))
+    bench = spark.createDataFrame([(None, said), (7, said), (8, "short one"), (8, "short one"), (9, None)], "item_id long, text string")
+    rows = {r.doc_id: r for r in decontamination.scan(docs, bench).collect()}
+    assert [rows[i]["items"] for i in range(4)] == [["7"], ["7"], [], []] and [rows[i].n_hit for i in range(4)] == [10, 20, 0, 0]
+    cut = decontamination.decontaminated(docs, bench)
+    assert cut.columns == docs.columns and cut.where("doc_id = 0").first().text == "before  after"
+    two = spark.createDataFrame([(1, said), (2, said), (None, said)], "item_id long, text string")
+    kept = lambda n: decontamination.decontaminated(docs, two, min_items=n).where("doc_id = 0").first().text
+    assert kept(2) == "before  after" and kept(3) == texts[0]
+
+
+def test_viterbi_against_the_library(spark):
+    """The model read as a unigram model: the library's segmentation scores what ours scores."""
+    import sentencepiece
+
+    raw = Path(PIECE_MODEL).read_bytes()
+    codec = Codec(raw, merging=False)
+    assert codec.bpe is False and Codec(raw).bpe
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    # field 3 of the trainer's part says which kind of model it is: 1 is unigram
+    library = sentencepiece.SentencePieceProcessor(model_proto=raw + b"\x12" + varint(2) + b"\x18\x01")
+    score = lambda ids: sum(codec.scores[i] for i in ids)
+    for t in awkward():
+        ours, theirs = codec.encode(t), library.encode(t or "")
+        assert codec.decode(ours) == (t or "")
+        if not any(codec.kinds[i] == 6 for i in ours + theirs):
+            assert abs(score(ours) - score(theirs)) < 1e-3 * max(1.0, abs(score(theirs)))
+
+
+def test_pairs_are_remembered_within_bounds(monkeypatch):
+    from runnel.llm import sentencepiece_codec
+
+    raw, text = Path(PIECE_MODEL).read_bytes(), " ".join(f"some words unlike others {k} naïve" for k in range(300))
+    want = Codec(raw).encode(text)
+    monkeypatch.setattr(sentencepiece_codec, "PAIRS", 5)
+    small = Codec(raw)
+    assert small.encode(text) == want and len(small._apart) <= 6
+
+
+def test_encoding_of_no_rows_and_a_very_long_word(spark):
+    from runnel.llm import sentencepiece_codec
+
+    raw = Path(PIECE_MODEL).read_bytes()
+    docs = documents(spark, ["ab" * 20_000, "x"])
+    rows = sentencepiece_codec.encode(docs, raw, keep=["doc_id"]).collect()
+    assert all(r.exact for r in rows) and sentencepiece_codec.encode(docs.where("false"), raw).count() == 0
+
+
+def test_posteriors_by_all_labellings():
+    """Forward-backward against the sum over every sequence of labels."""
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    k, sizes = 3, [1, 4, 0, 6]
+    model = language_id.Model(["a", "b", "c"], np.zeros((1, k)), rng.normal(size=(k, k)))
+    scores = rng.normal(size=(sum(sizes), k)) * 2
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    got = model.posteriors(scores, first)
+    for a, b in zip(first[:-1], first[1:]):
+        total, mass = 0.0, np.zeros((b - a, k))
+        for labels in product(range(k), repeat=int(b - a)):
+            p = np.exp(sum(scores[a + i, x] for i, x in enumerate(labels)) + sum(model.transitions[x, y] for x, y in zip(labels, labels[1:])))
+            total += p
+            for i, x in enumerate(labels):
+                mass[i, x] += p
+        assert np.allclose(got[a:b], mass / total, atol=1e-6)
+    long = rng.normal(size=(100, k))
+    whole = model.posteriors(long, np.array([0, 100]))
+    ahead, back = np.zeros((100, k)), np.zeros((100, k))
+    for i in range(100):
+        ahead[i] = long[i] + (np.logaddexp.reduce(ahead[i - 1][:, None] + model.transitions, 0) if i else 0)
+    for i in reversed(range(99)):
+        back[i] = np.logaddexp.reduce(model.transitions + long[i + 1] + back[i + 1], 1)
+    plain = np.exp(ahead + back - np.logaddexp.reduce(ahead + back, 1)[:, None])
+    assert np.allclose(whole, plain, atol=1e-6)
+
+
+def test_languages_of_repeated_rows_ties_and_no_rows(spark):
+    texts = ["der hund und die katze", "the dog and the cat"] * 20
+    docs = spark.createDataFrame([(i, t, "de" if i % 2 == 0 else "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert len(model.lexicon.hashes) > 5
+    rows = language_id.identify(docs.unionByName(docs), model).collect()
+    assert len(rows) == 80 and all(r.lang_pred == r.lang for r in rows) and len({(r.doc_id, r.lang_pred, r.score) for r in rows}) == 40
+    assert language_id.identify(docs.where("false"), model).count() == 0
+    same = language_id.train(docs.select("doc_id", F.lit("same words").alias("text"), "lang"))
+    tie = language_id.Model(["de", "en"], np.zeros_like(same.weights), np.zeros((2, 2), np.float32))
+    assert language_id.identify(docs.limit(1), tie).first().lang_pred == "de"
