@@ -12,6 +12,7 @@ text, those without an id last; repeated rows follow themselves. An empty table
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,7 +27,7 @@ WIDTH = 5
 #: Random probes of an empty bin before the rest of its probing order, in which the filled bin of the least hash comes first.
 PROBES = 8
 #: Text in an id range; the number of ranges follows the input, within bounds.
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 16 << 20
 LEAST_RANGES, MOST_RANGES = 16, 1 << 16
 
 
@@ -85,11 +86,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), (share - chance) / (1 - chance)))
 
 
-def with_next(docs: DataFrame, id_col: str, columns: list[str], size: Column, tie: Column) -> DataFrame:
-    """Each row with next_<column> of the row that follows it by id, then by `tie`; after the last, of the first.
+def with_next(docs: DataFrame, id_col: str, columns: list[str], size: Column, tie: Column, derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Each row with next_<column> of the row that follows it by id, then by `tie`; after the last, of the first. derive adds columns to each row.
 
     Rows are dealt into id ranges by size-weighted sampled splitters, a range a task; the first row of each range is copied to the range before
-    it, so that no window spans ranges and columns are shuffled once. Of a range its least id reaches the driver.
+    it, so that no window spans ranges and columns are shuffled once, before others are derived from them. Of a range its least id
+    reaches the driver.
     """
     base = docs.withColumns({"__key": F.coalesce(F.col(id_col), F.lit((1 << 63) - 1)), "__last": F.col(id_col).isNull(), "__tie": tie, "__size": size.cast("long")})
     total = base.agg(F.sum("__size")).first()[0] or 0
@@ -99,10 +101,11 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str], size: Column, ti
     least = sorted((r[1], r[0]) for r in base.groupBy("__place").agg(F.min("__key")).collect())
     ring = [(place, least[i - 1][1]) for i, (_, place) in enumerate(least)]
     order = ["__key", "__last", "__tie"]
-    first = base.groupBy("__place").agg(F.min_by(F.struct(*order, *columns), F.struct(*order)).alias("__first"))
+    first = base.groupBy("__place").agg(F.min_by(F.struct(*order, *[c for c in columns if c in docs.columns]), F.struct(*order)).alias("__first"))
     to = docs.sparkSession.createDataFrame(ring, "__place int, __to int")
     copies = first.join(F.broadcast(to), "__place").select(F.col("__to").alias("__place"), "__first.*", F.lit(True).alias("__copy"))
     both = base.withColumn("__copy", F.lit(False)).unionByName(copies, allowMissingColumns=True).repartition(n, "__place")
+    both = derive(both)
     w = Window.partitionBy("__place").orderBy("__copy", *order)
     return both.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns}).where(~F.col("__copy")).drop("__place", "__copy", *order)
 
@@ -116,8 +119,7 @@ def edited(text: Column, following: Column, n: Column) -> Column:
 def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited form, and their likenesses."""
     base = docs.select(F.col(id_col), text_of(text_col).alias("text"))
-    base = with_fingerprint(base, "text", "fingerprint")
-    rows = with_next(base, id_col, ["text", "fingerprint"], F.octet_length("text") + 1, F.xxhash64("text"))
+    rows = with_next(base, id_col, ["text", "fingerprint"], F.octet_length("text") + 1, F.xxhash64("text"), lambda df: with_fingerprint(df, "text", "fingerprint"))
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("edited", edited(F.col("text"), F.coalesce("next_text", F.lit("")), F.col("n_chars")))
     rows = with_fingerprint(rows, "edited", "edited_fingerprint")
     return rows.select(
