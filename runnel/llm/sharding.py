@@ -22,8 +22,8 @@ from ._shared import longs, partitions, text_of, written
 #: Ranges at least and at most, and records in a range, about.
 RANGES, MOST_RANGES = 1024, 1 << 16
 RECORDS = 1 << 17
-#: Sampled keys a range.
-KEYS = 16
+#: Sampled keys a range, and at least in all.
+KEYS, LEAST_KEYS = 16, 1 << 13
 SUBDIVISIONS = 64
 
 
@@ -35,7 +35,7 @@ def splitters(keyed: DataFrame, ranges: int = RANGES, sample: int | None = None)
     total = keyed.agg(F.sum("size")).first()[0]
     if not total or ranges < 2:
         return []
-    sample = sample or KEYS * ranges
+    sample = sample or max(LEAST_KEYS, KEYS * ranges)
     chance = F.col("size") * F.lit(sample / total)
     drawn = F.pmod(F.xxhash64(F.col("id"), F.lit("draw")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     rows = keyed.where(drawn < chance).groupBy("key").agg(F.sum(F.greatest(chance, F.lit(1.0))).alias("w")).collect()
