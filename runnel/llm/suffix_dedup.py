@@ -44,7 +44,7 @@ MOST_RANGES = 1 << 20
 KEYS = 8
 DOC_KEYS = 16
 #: Suffixes that a task holds before it sends them on.
-FLUSH = 300_000
+FLUSH = 200_000
 #: Opened runs with the same leading bytes, of some 60 bytes each, that are compared in one task; of more, the strings are dealt.
 LARGE = 1 << 16
 OTHER_HASH = mix(BYTE_HASH ^ U(0xA0761D6478BD642F))
