@@ -216,8 +216,8 @@ def fit(texts: list[tuple[str, bytes]], labels: list[str]) -> Model:
     row = np.arange(len(order)) // per
     before = np.cumsum(size) - size
     at = before - before[row * per]
-    y = np.zeros((-(-len(order) // per), width), np.int64)
-    mask, place = np.zeros(y.shape, bool), np.zeros(y.shape, np.int64)
+    y = np.zeros((-(-len(order) // per), width), np.int32)
+    mask, place = np.zeros(y.shape, bool), np.zeros(y.shape, np.int32)
     inner = np.arange(size.sum()) - np.repeat(before, size)
     cell = (np.repeat(row, size), np.repeat(at, size) + inner)
     label_of = np.array([labels.index(label) for label, _ in texts], np.int64)
@@ -225,7 +225,7 @@ def fit(texts: list[tuple[str, bytes]], labels: list[str]) -> Model:
     codes, distinct = pd.factorize(Prefix(data).ranges(starts, ends))
     at = np.empty(len(distinct), np.int64)
     at[codes[::-1]] = np.arange(len(codes))[::-1]
-    row = codes[place]
+    row = codes.astype(np.int32)[place]
     gold = np.zeros((len(distinct), k))
     for j in range(k):
         gold[:, j] = np.bincount(row[mask & (y == j)], minlength=len(distinct))
@@ -239,30 +239,30 @@ def fit(texts: list[tuple[str, bytes]], labels: list[str]) -> Model:
     m1, m2, n1, n2 = np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)
     total = mask.sum()
     for step in range(1, ROUNDS + 1):
-        scores = np.add.reduceat(w[ids], begin, axis=0)[row]
-        em = np.exp(scores - scores.max(2, keepdims=True))
-        move = np.exp(t)
+        by_word = np.add.reduceat(w[ids], begin, axis=0)
+        em = np.exp(by_word - by_word.max(1, keepdims=True)).astype(np.float32)[row]
+        move = np.exp(t).astype(np.float32)
         f = np.empty_like(em)
-        cur = np.full((len(y), k), 1.0 / k)
+        cur = np.full((len(y), k), 1.0 / k, np.float32)
         for i in range(width):
             nxt = (cur @ move if i else cur) * em[:, i]
             nxt /= nxt.sum(1, keepdims=True)
             cur = np.where(mask[:, i, None], nxt, cur)
             f[:, i] = cur
-        g, pairs, b = np.empty_like(em), np.zeros((k, k)), np.ones((len(y), k))
+        pairs, b = np.zeros((k, k)), np.ones((len(y), k), np.float32)
         for i in reversed(range(width)):
             x = f[:, i] * b
-            g[:, i] = x / x.sum(1, keepdims=True)
+            f[:, i] = x / x.sum(1, keepdims=True)  # from here on the posteriors
             eb = em[:, i] * b
             if i:
                 live = pair[:, i - 1]
                 p = f[live, i - 1][:, :, None] * move * eb[live][:, None, :]
-                pairs += (p / p.sum((1, 2), keepdims=True)).sum(0)
+                pairs += (p / p.sum((1, 2), keepdims=True)).sum(0, dtype=np.float64)
             nb = eb @ move.T
             b = np.where(mask[:, i, None], nb / nb.max(1, keepdims=True), b)
         diff = gold.copy()
         for j in range(k):
-            diff[:, j] -= np.bincount(row[mask], weights=g[:, :, j][mask], minlength=len(distinct))
+            diff[:, j] -= np.bincount(row[mask], weights=f[:, :, j][mask], minlength=len(distinct))
         gw = np.stack([np.bincount(ids, weights=np.repeat(diff[:, j], per_word), minlength=1 << BITS) for j in range(k)], 1) / total - 1e-6 * w
         gt = (gold_pairs - pairs) / total
         for x, grad, a, c, rate in ((w, gw, m1, m2, 0.1), (t, gt, n1, n2, 0.2)):
