@@ -8,7 +8,8 @@ that share too few with all others together are settled by this alone.
 Of the rest each document is compared with one other, the one closest to common of those it shares most with; what links
 makes groups of similar documents. The token-group matrix then stores each group's union of prefix tokens, a row a token and group. For
 a query document the number of its tokens in a union bounds from above what it shares with any member; only groups that
-qualify are opened: their members that share enough with the query are compared exactly. Pairs inside a group are never listed.
+qualify are opened: first, of each two groups, one query meets the one member it shares most with, as one link joins both; where groups stay apart,
+all members that share enough with a query are compared exactly. Pairs inside a group are never listed.
 
 Links: 100 * intersection >= percent * union. Null, empty and word-free texts have empty sets and link with nothing. Repeated
 rows are members of one class. The driver sees only sketches of a fixed size and, per round of the components, a count.
@@ -140,6 +141,24 @@ def jaccard_at_least(data, offsets, other, other_offsets, width: int, percent: i
     return (inter > 0) & (100 * inter >= percent * (total - inter))
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("query", "member").alias("a"), F.greatest("query", "member").alias("b")).distinct()
+
+
+def _inside(opened: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of opened groups (query, own, group) the members that share enough prefix tokens with the query, and how many: query, member, own, group, common."""
+    nq, nm = F.col("nq"), F.col("nm")
+    k = _least_shared(nq, nm, percent)
+    early = (F.col("rq") <= nq - _rest(nq, percent) - k) & (F.col("rm") <= nm - _rest(nm, percent) - k)
+    queries = members.select(F.col("token").alias("t"), F.col("doc_id").alias("query"), F.col("n").alias("nq"), F.col("rank").alias("rq")).join(opened.withColumnRenamed("group", "g"), "query")
+    inside = members.select("token", F.col("doc_id").alias("member"), F.col("component").alias("group"), F.col("n").alias("nm"), F.col("rank").alias("rm"))
+    near = queries.join(inside, (F.col("t") == F.col("token")) & (F.col("g") == F.col("group")) & _sizes_fit("nq", "nm", percent) & early)
+    near = near.select("query", "member", "own", "group", "nq", "nm").distinct()
+    prefix = lambda name: sets.select(F.col("doc_id").alias(name), F.col("prefix").alias(f"of_{name}"))
+    found = near.join(prefix("query"), "query").join(prefix("member"), "member").withColumn("common", F.size(F.array_intersect("of_query", "of_member")))
+    return found.where(F.col("common") >= k).select("query", "member", "own", "group", "common")
+
+
 def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc id, n_shingles, component_id: the least doc id reachable by links. A row per row of docs; a null id is a class of its own."""
     small_batches(docs.sparkSession)
@@ -148,10 +167,12 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     first = every.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "prefix")).alias("s"))
     sets = written(first.select("n", "d1", "d2", "s.*"), "sets")
 
-    # postings of tokens that several sets have in their prefix, of documents that share enough of them with others of fitting sizes
-    by_token, by_doc = Window.partitionBy("token"), Window.partitionBy("doc_id")
-    postings = sets.select("doc_id", "n", F.posexplode("prefix").alias("rank", "token"))
-    postings = postings.withColumns({"df": F.count("*").over(by_token), "lo": F.min("n").over(by_token), "hi": F.max("n").over(by_token)}).where("df > 1")
+    # postings of tokens that several sets have in their prefix, of documents that share enough of them with others of fitting sizes;
+    # what a token's postings have in common is summed before shuffling and joined back, so that a frequent token's can be split
+    by_doc = Window.partitionBy("doc_id")
+    tokens = sets.select("doc_id", "n", F.posexplode("prefix").alias("rank", "token"))
+    spread = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("n").alias("lo"), F.max("n").alias("hi")).where("df > 1")
+    postings = tokens.join(spread.drop("df"), "token")
     n, common = F.col("n"), F.count("*").over(by_doc)
     smallest, largest = F.greatest("lo", F.floor(n * percent / 100)), F.least("hi", F.ceil(n * 100 / percent))
     # at the sizes in between the bound is at most 2 lower, by rounding
@@ -160,16 +181,16 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     postings = written(postings.select("token", "doc_id", "n", "rank", "common"), "postings")
 
     # stars: the document of a token that has most in common with others is closest to what all share
-    hub = F.max(F.struct("common", (-F.col("doc_id")).alias("id"), F.col("n").alias("size"))).over(by_token)
-    stars = postings.withColumn("hub", hub).where("doc_id <> -hub.id").groupBy("doc_id", "n", "hub").count().where(_sizes_fit("n", "hub.size", percent))
+    hubs = postings.groupBy("token").agg(F.max(F.struct("common", (-F.col("doc_id")).alias("id"), F.col("n").alias("size"))).alias("hub"))
+    stars = postings.join(hubs, "token").where("doc_id <> -hub.id").groupBy("doc_id", "n", "hub").count().where(_sizes_fit("n", "hub.size", percent))
     best = stars.groupBy("doc_id").agg(F.max(F.struct("count", "hub")).alias("s")).select(F.least(-F.col("s.hub.id"), "doc_id").alias("a"), F.greatest(-F.col("s.hub.id"), "doc_id").alias("b")).distinct()
     links = written(_links(best, base, width, percent), "links")
 
     # groups so far, and the matrix: tokens that several groups have
     group = components(links)
     grouped = postings.select("token", "doc_id", "n", "rank").join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = grouped.withColumn("lo", F.min("component").over(by_token)).withColumn("hi", F.max("component").over(by_token)).where("lo <> hi").drop("lo", "hi")
-    members = written(split, "members")
+    between = grouped.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    members = written(grouped.join(between, "token"), "members")
     matrix = members.groupBy("token", F.col("component").alias("group")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     # each two groups once: the documents of the one are the queries. Of k prefix tokens that two sets share, at least the half
     # are not among the last k / 2 of the query's prefix; so the union needs to hold that many of those before
@@ -178,20 +199,20 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     nearest = F.least(F.greatest("n", "least"), "most")
     at_least = F.greatest(F.lit(1), F.least(*[_least_shared(n, m, percent) for m in (nearest, F.greatest("least", F.floor(n * percent / 100)), F.least("most", F.ceil(n * 100 / percent)))]) - 2)
     met = asking.join(matrix, (asking["token"] == matrix["token"]) & (F.col("own") > F.col("group")) & fits & (F.col("rank") < n - _rest(n, percent) - F.floor(at_least / 2)))
-    overlap = met.groupBy("query", "group").agg(F.count("*").alias("shared"), F.min(F.ceil(at_least / 2)).alias("bound"))
-    opened = written(overlap.where("shared >= bound").select("query", "group"), "opened")
+    overlap = met.groupBy("query", "own", "group").agg(F.count("*").alias("shared"), F.min(F.ceil(at_least / 2)).alias("bound"))
+    opened = written(overlap.where("shared >= bound").select("query", "own", "group", "shared"), "opened")
 
-    # members of opened groups, one by one
-    nq, nm = F.col("nq"), F.col("nm")
-    k = _least_shared(nq, nm, percent)
-    early = (F.col("rq") <= nq - _rest(nq, percent) - k) & (F.col("rm") <= nm - _rest(nm, percent) - k)
-    queries = members.select(F.col("token").alias("t"), F.col("doc_id").alias("query"), F.col("n").alias("nq"), F.col("rank").alias("rq")).join(opened.withColumnRenamed("group", "g"), "query")
-    inside = members.select("token", F.col("doc_id").alias("member"), F.col("component").alias("group"), F.col("n").alias("nm"), F.col("rank").alias("rm"))
-    near = queries.join(inside, (F.col("t") == F.col("token")) & (F.col("g") == F.col("group")) & _sizes_fit("nq", "nm", percent) & early).select("query", "member", "nq", "nm").distinct()
-    prefix = lambda name: sets.select(F.col("doc_id").alias(name), F.col("prefix").alias(f"of_{name}"))
-    found = near.join(prefix("query"), "query").join(prefix("member"), "member").where(F.size(F.array_intersect("of_query", "of_member")) >= k)
-    pairs = found.select(F.least("query", "member").alias("a"), F.greatest("query", "member").alias("b")).distinct()
-    more = written(_links(pairs, base, width, percent), "links")
+    # of each two groups the query with most in the other's union asks first, for the member it shares most with: one link joins both
+    ask = opened.groupBy("own", "group").agg(F.max(F.struct("shared", "query")).alias("s")).select("s.query", "own", "group")
+    likeliest = _inside(ask, members, sets, percent).groupBy("own", "group").agg(F.max(F.struct("common", "query", "member")).alias("s"))
+    links = written(links.unionByName(_links(_ordered(likeliest.select("s.*")), base, width, percent)), "links")
+
+    # members of opened groups that are still apart, one by one
+    group = components(links)
+    own, other = (group.select(F.col("node").alias(name), F.col("component").alias(f"{name}_now")) for name in ("own", "group"))
+    now = opened.join(own, "own", "left").join(other, "group", "left")
+    apart = now.where(F.coalesce("own_now", "own") != F.coalesce("group_now", "group")).select("query", "own", "group")
+    more = written(_links(_ordered(_inside(apart, members, sets, percent)), base, width, percent), "links")
 
     final = components(links.unionByName(more)) if more.limit(1).count() else group
     classes = sets.select("n", "d1", "d2", F.col("doc_id").alias("node")).join(final, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("component"))

@@ -34,6 +34,44 @@ def test_links_that_only_other_members_have(spark):
     assert {r.component_id for r in rows} == {0}
 
 
+def _walks(seed, families, steps):
+    """Families of texts, each a random walk of single words away from a common beginning: many groups that are alike and barely linked."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(60)]
+    out = []
+    for _ in range(families):
+        now = list(base)
+        for _ in range(rng.integers(0, 6)):
+            now[rng.integers(60)] = f"x{rng.integers(40)}"
+        for _ in range(steps):
+            now[rng.integers(60)] = f"x{rng.integers(40)}"
+            out.append(" ".join(now))
+    return [out[i] for i in rng.permutation(len(out))]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_groups_that_are_alike_and_barely_linked(spark, seed):
+    texts = _walks(seed, 12, 12)
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(documents(spark, texts), 1, 90).collect()}
+    want = classes(word_sets(texts, 1), 90)
+    assert len(set(got.values())) > 1 and [got[i] for i in range(len(texts))] == list(want)
+
+
+def test_one_link_joins_two_groups(spark, monkeypatch):
+    """Two stars of like documents whose middles are apart; one pair is looked at, not each with each."""
+    words = [f"w{i}" for i in range(80)]
+    texts = []
+    for gone in range(2):
+        for k in range(40):
+            texts.append(" ".join([f"g{gone}{i}" for i in range(4)] + words + [f"own{gone}-{k}"]))
+    looked, links = [], ngram_join._links
+    monkeypatch.setattr(ngram_join, "_links", lambda pairs, *rest: (looked.append(pairs.count()), links(pairs, *rest))[1])
+    rows = ngram_join.ngram_join(documents(spark, texts), 1, 80).collect()
+    want = classes(word_sets(texts, 1), 80)
+    assert all(r.component_id == want[r.doc_id] for r in rows)
+    assert sum(looked) < 200
+
+
 def test_join_of_repeated_rows_null_ids_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", 1), (1, "a b c d e f", 2), (None, "a b c d e f", 3), (0, "a b c d e f", 4)], "doc_id long, text string, component_id int")
     rows = ngram_join.ngram_join(docs, 3, 90).collect()
