@@ -7,6 +7,7 @@ flow (open buffers, last windows) is emitted when the watermark passes, or not a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..errors import Overflow
 from ..ordinal import numbered
 
+#: Rows from which the small parts of a batch are cut, about; they are one partition.
+BLOCK = 1 << 16
+
 
 def events(spark: SparkSession, folder: str, glob: str, schema, ts: str, late: str = "1 hour", files_per_trigger: int | None = None) -> DataFrame:
     """A stream over Parquet files with a watermark; files_per_trigger bounds what a trigger takes."""
@@ -134,6 +138,35 @@ def sink(df: DataFrame, path: str, checkpoint: str, every: str | None = None, mo
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def _in_parts(df: DataFrame, n: int, cap: int, order: Sequence[str], take: Callable[[DataFrame], None]) -> None:
+    """Calls take with one `cap` of df's n rows after another, in the order. The rows are numbered once and kept instead of df.
+
+    Small parts are cut from blocks, each kept in one partition with its rows in order: a part costs a task over a block, and only a block
+    costs tasks over the whole batch.
+    """
+    # A decimal stays out of the code that Spark compiles, where a long is written into it: so all parts share theirs.
+    kind, parts, per = "decimal(19, 0)", -(-n // cap), BLOCK // cap
+    at = numbered(df, order, "__pos").withColumn("__part", F.expr(f"(__pos - 1) div {cap}").cast(kind)).persist()
+    number = lambda i: F.lit(Decimal(i)).cast(kind)
+    part = lambda rows, i: rows.where(F.col("__part") == number(i)).drop("__pos", "__part")
+    try:
+        at.count()
+        df.unpersist()
+        for first in range(0, parts, max(per, 1)):
+            if per < 2:
+                take(part(at, first))
+                continue
+            last = min(first + per, parts) - 1
+            block = at.where(F.col("__part").between(number(first), number(last))).repartition(1).sortWithinPartitions("__pos").persist()
+            try:
+                for i in range(first, last + 1):
+                    take(part(block, i))
+            finally:
+                block.unpersist()
+    finally:
+        at.unpersist()
+
+
 def each_batch(
     df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None, capacity: int | None = None, mode: str = "append",
     cap: int | None = None, order: Sequence[str] = (),
@@ -156,9 +189,7 @@ def each_batch(
                 raise Overflow(f"{n} items for {capacity}")
             if cap is None:
                 return fn(kept, number)
-            at = numbered(kept, order, "__pos")
-            for first in range(0, n, cap):
-                fn(at.where(F.col("__pos").between(first + 1, first + cap)).drop("__pos"), number)
+            _in_parts(kept, n, cap, order, lambda part: fn(part, number))
         finally:
             kept.unpersist()
 

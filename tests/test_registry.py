@@ -66,3 +66,31 @@ def test_stream_buffers_hold_every_item(spark, tmp_path):
     assert rows and all(r.n == len(r["items"]) <= 5 for r in rows)
     held = [i for r in rows for i in r["items"]]
     assert len(held) == len(set(held))
+
+
+@pytest.mark.parametrize("block", [8, 60])
+def test_parts_of_a_batch_cost_what_they_hold(spark, tmp_path, monkeypatch, block):
+    """Parts in order and whole, with null and tied keys, cut from the batch itself or from blocks; numbered once: a part then takes few tasks."""
+    from runnel.streaming import flows
+
+    spark.sql("SELECT IF(id % 50 = 0, NULL, id % 40) AS k, id AS at, IF(id % 3 = 0, NULL, CAST(id AS STRING)) AS v FROM range(0, 205, 1, 3)").write.parquet(f"{tmp_path}/in")
+    df, tracker, parts, tasks = spark.readStream.schema("k long, at long, v string").parquet(f"{tmp_path}/in"), spark.sparkContext.statusTracker(), [], []
+    held = set(spark.sparkContext._jsc.getPersistentRDDs())
+    ran = lambda: set(tracker.getJobIdsForGroup(spark.sparkContext.getLocalProperty("spark.jobGroup.id")))
+
+    def take(part, number):
+        assert number == 0 and part.columns == ["k", "at", "v"]
+        part.count()  # fills the block where this is its first part
+        before = ran()
+        parts.append([tuple(r) for r in part.collect()])
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        tasks.append(sum(i.numCompletedTasks for j in ran() - before for s in tracker.getJobInfo(j).stageIds if (i := tracker.getStageInfo(s))))
+
+    monkeypatch.setattr(flows, "BLOCK", block, raising=False)
+    flows.each_batch(df, take, f"{tmp_path}/checkpoint", cap=10, order=["k", "at"]).awaitTermination()
+    expected = sorted(((None if i % 50 == 0 else i % 40, i, None if i % 3 == 0 else str(i)) for i in range(205)), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [r for p in parts for r in sorted(p, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))] == expected
+    assert [len(p) for p in parts] == [10] * 20 + [5]
+    assert block == 8 or [r for p in parts for r in p] == expected
+    assert all(0 < t <= (4 if block == 8 else 1) for t in tasks), tasks
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) <= held
