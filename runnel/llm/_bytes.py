@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text handled at once; a longer document forms a block of its own.
-BLOCK = 2 << 20
+#: Bytes of text handled at once; a longer document forms a block of its own. Work on a block takes some 100 times its bytes.
+BLOCK = 1 << 19
 #: Documents handled at once.
 ROWS = 4096
 

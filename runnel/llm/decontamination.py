@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-Each shard (about two MB of text of one task) becomes one sequence of all its words, as symbols, with separators at document ends, and
+Each shard (half a MB of text of one task, or up to two MB where there are many windows) becomes one sequence of all its words, as symbols, with separators at document ends, and
 an FM-index is built over it once. All windows of the items are searched backward at once through wavelet-tree ranks;
 occurrences are located by sampled suffix positions; overlapping removal spans merge. Shards need no shuffle.
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER, BYTE_HASH, Prefix, blocks, byte_class, tidy, words
+from ._bytes import BLOCK, LOWER, BYTE_HASH, Prefix, blocks, byte_class, tidy, words
 from ._shared import small_batches
 from .fm_index import FMIndex
 
@@ -121,14 +121,21 @@ def _each(blocks_of: list) -> Iterator[Windows]:
             b.__dict__.pop("_value", None)
 
 
+def _shard_bytes(blocks_of: list) -> int:
+    """Text of a shard: the more windows, each shard being asked for all of them, the more text."""
+    windows = MAX_WINDOWS if len(blocks_of) > 1 else len(blocks_of[0].value.patterns)
+    return min(4 * BLOCK, max(BLOCK, 8 * windows))
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document: n_words, spans array of (start, end) bytes of merged hit runs, n_hit words, item ids whose windows occur."""
     blocks_of = _broadcast(benchmark, width, item_col, item_text)
+    limit = _shard_bytes(blocks_of)
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     kind = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))])
 
     def run(batches):
-        for batch, data, offsets in blocks(batches, "text"):
+        for batch, data, offsets in blocks(batches, "text", limit):
             n = len(offsets) - 1
             shard = Shard(data, offsets)
             s, e, first, pairs = shard.starts, shard.ends, shard.first, []
@@ -166,11 +173,12 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, mi
     A document without hits stays byte for byte; n_chars, if there is such a column, is renewed for a changed one.
     """
     blocks_of = _broadcast(benchmark, width, "item_id", "text")
+    limit = _shard_bytes(blocks_of)
     schema = docs.schema
     names = docs.columns
 
     def run(batches):
-        for batch, data, offsets in blocks(batches, text_col):
+        for batch, data, offsets in blocks(batches, text_col, limit):
             cuts: dict[int, list] = {}
             owners: dict[int, set] = {}
             shard = Shard(data, offsets)

@@ -117,9 +117,9 @@ def _links(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     with_both = with_b.join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text")), "a").select("a", "b", "text", "text_b")
 
     def run(batches):
-        for batch, data, offsets in blocks(batches, "text", 1 << 20):
+        for batch, data, offsets in blocks(batches, "text"):
             at = 0
-            for part, other, other_offsets in blocks([batch], "text_b", 1 << 20):
+            for part, other, other_offsets in blocks([batch], "text_b"):
                 to = at + part.num_rows
                 hit = jaccard_at_least(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], other, other_offsets, width, percent)
                 yield part.select(["a", "b"]).filter(pa.array(hit))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import BYTE_HASH, Prefix, U, blocks, mix, text_buffer, tidy
+from ._bytes import BLOCK, BYTE_HASH, Prefix, U, blocks, mix, text_buffer, tidy
 from ._order import heads, least_in_run, multikey_quicksort
 from ._shared import apart, fresh_name, partitions, small_batches, written
 from ._sketches import members_apart, only_members
@@ -44,7 +44,7 @@ MOST_RANGES = 1 << 20
 KEYS = 8
 DOC_KEYS = 16
 #: Suffixes that a task holds before it sends them on.
-FLUSH = 200_000
+FLUSH = 100_000
 #: Opened runs with the same leading bytes, of some 60 bytes each, that are compared in one task; of more, the strings are dealt.
 LARGE = 1 << 16
 OTHER_HASH = mix(BYTE_HASH ^ U(0xA0761D6478BD642F))
@@ -137,7 +137,7 @@ def _splitters(docs: DataFrame, ranges: int, count: int) -> np.ndarray:
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("splitters")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
 
     def run(batches):
-        for _, data, offsets in blocks(batches, "text", 1 << 20):
+        for _, data, offsets in blocks(batches, "text", BLOCK // 2):
             r = Runs(data, offsets)
             if len(r.t0):
                 pick = np.unique(np.linspace(0, len(r.t0) - 1, DOC_KEYS * (len(offsets) - 1)).astype(np.int64))
@@ -221,7 +221,7 @@ def _suffixes(docs: DataFrame, ranges: Ranges, places: np.ndarray) -> DataFrame:
 
     def run(batches):
         held, n = [], 0
-        for batch, data, offsets in blocks(batches, "text", 1 << 20):
+        for batch, data, offsets in blocks(batches, "text", BLOCK // 2):
             r = Runs(data, offsets)
             if not len(r.t0):
                 continue

@@ -1,8 +1,11 @@
 """Near duplicates and repeated passages against brute force, on awkward texts."""
 
 import hashlib
+import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +197,26 @@ def test_of_repeated_ids_the_same_row_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
     kept = lambda df: sorted((r.doc_id, r.text, r.n) for r in ngram_join.first_of_each(df).collect())
     assert kept(docs) == kept(docs.orderBy(F.desc("n"))) == kept(docs.repartition(3)) and len(kept(docs)) == 2
+
+
+def test_tasks_over_texts_take_bounded_memory(spark, monkeypatch):
+    """Workers of a stage share an executor with its JVM: what a task allocates beside a batch stays small, and no record is lost by it."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefgh ", k=2500)) for _ in range(1600)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1600)), "row": [0] * 1600, "text": texts})
+    ran = []
+
+    class Docs:
+        select = lambda self, *names: self
+        mapInArrow = lambda self, run, schema: ran.append(run)
+        sparkSession = spark
+
+    ranges = suffix_dedup.Ranges(np.zeros(0, "S12"))
+    suffix_dedup._suffixes(Docs(), ranges, apart(ranges.count))
+    ngram_join.signatures(Docs(), 5, 80, np.zeros(1 << ngram_join.COUNTER_BITS, np.uint8))
+    for run, limit in zip(ran, (90, 80), strict=True):
+        tracemalloc.start()
+        rows = [out.num_rows for out in run([batch])]
+        peak = tracemalloc.get_traced_memory()[1] >> 20
+        tracemalloc.stop()
+        assert sum(rows) and peak < limit, peak
