@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -63,11 +64,31 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK) -
         give_back()
 
 
+_KEPT: list = []
+
+
+def kept_by_tasks(cached):
+    """Declares a cache that the tasks of its module keep in a Python worker for the next ones; other modules' tasks drop it."""
+    _KEPT.append(cached)
+    return cached
+
+
+def drop_others(module: str) -> None:
+    """Empties what tasks of other modules have left in this worker."""
+    left = [c for c in _KEPT if c.__module__ != module and c.cache_info().currsize]
+    for cached in left:
+        cached.cache_clear()
+    if left:
+        gc.collect()
+        give_back()
+
+
 def tidy(run):
     """A mapInArrow function that gives its memory back at the end of a partition, when its own state is gone."""
 
     @functools.wraps(run)
     def tidied(batches):
+        drop_others(run.__module__)
         yield from run(batches)
         give_back()
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from ._bytes import give_back, tidy
+from ._bytes import give_back, kept_by_tasks, tidy
 from ._shared import small_batches
 
 _IDS = ArrayType(IntegerType())
@@ -238,6 +238,7 @@ class Codec:
         return raw.decode("utf-8", "replace")
 
 
+@kept_by_tasks
 @lru_cache(2)
 def _codec(model: bytes, merging: bool | None = None) -> Codec:
     return Codec(model, merging)

@@ -1,6 +1,7 @@
 """Decontamination, language, SentencePiece, fingerprints."""
 
 import hashlib
+import pickle
 import random
 import re
 from pathlib import Path
@@ -10,12 +11,14 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from runnel.llm import decontamination, fingerprints, language_id
+from runnel.llm import decontamination, fingerprints, language_id, suffix_dedup
+from runnel.llm._bytes import tidy
 from runnel.llm.fm_index import FMIndex
 from runnel.llm.queries import PIECE_MODEL, op10_language_id
-from runnel.llm.sentencepiece_codec import Codec, decode, encode
+from runnel.llm.sentencepiece_codec import Codec, _codec, decode, encode
 
 from .helpers import LOW, SF, awkward, documents
 
@@ -341,3 +344,21 @@ def test_languages_of_repeated_rows_ties_and_no_rows(spark):
     same = language_id.train(docs.select("doc_id", F.lit("same words").alias("text"), "lang"))
     tie = language_id.Model(["de", "en"], np.zeros_like(same.weights), np.zeros((2, 2), np.float32))
     assert language_id.identify(docs.limit(1), tie).first().lang_pred == "de"
+
+
+def test_a_task_drops_the_tokenizer_that_another_operator_left():
+    """Workers are used again: what tokenizing tasks keep for the next ones of theirs is gone when another operator's task begins."""
+    _codec(Path(PIECE_MODEL).read_bytes())
+    ran = []
+
+    class Docs:
+        select = lambda self, *names: self
+        mapInArrow = lambda self, run, schema: ran.append(run)
+
+    suffix_dedup._suffixes(Docs(), suffix_dedup.Ranges(np.zeros(0, "S12")), np.zeros(1, np.int32))
+    own = lambda batches: iter(())
+    own.__module__ = _codec.__module__
+    list(tidy(own)([]))
+    assert _codec.cache_info().currsize
+    list(pickle.loads(cloudpickle.dumps(ran[0]))([]))
+    assert _codec.cache_info().currsize == 0
